@@ -39,7 +39,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     s = sizes.withColumn("weight_", weight).withColumn("stop_", F.lit(most) * F.col("source_size") / F.col("weight_"))
     s = s.withColumn("rest_", share * F.sum("source_size").over(everything) - F.coalesce(most * F.sum("source_size").over(by_stop), F.lit(0)))
     s = s.withColumn("level_", F.col("rest_") / (F.sum("weight_").over(everything) - F.coalesce(F.sum("weight_").over(by_stop), F.lit(0.0))))
-    s = s.withColumn("level_", F.min(F.when(F.col("level_") <= F.col("stop_"), F.col("level_"))).over(everything))
+    s = s.withColumn("place_", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("stop_", F.col("source").asc_nulls_last())))
+    fits = F.col("level_") <= F.col("stop_")
+    s = s.withColumn("level_", F.min_by(F.when(fits, F.col("level_")), F.when(fits, F.col("place_"))).over(everything))
     full = (F.lit(most) * F.col("source_size")).cast("double")
     return s.select("source", "source_size", F.when(F.col("stop_") <= F.col("level_"), full).otherwise(F.least(full, F.coalesce(F.col("weight_") * F.col("level_"), full))).alias("target"))
 

@@ -89,3 +89,31 @@ def connected_components(edges: DataFrame, most: int = 100) -> DataFrame:
             break
         mark = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
+
+
+#: Rows of an Arrow batch, and bytes of text that an operator works on at once.
+BATCH_ROWS = 1000
+SLICE_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """df, with Arrow batches of its session held to so many rows: long texts then fit beside each other."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
+def text_slices(batch, most: int = SLICE_BYTES):
+    """(ids, texts) of consecutive rows of a batch (id, text) of at most so many bytes, or of one row."""
+    size = 0
+    start = 0
+    texts = batch.column(1).to_pylist()
+    for k, t in enumerate(texts):
+        n = len(t) if t else 0
+        if k > start and size + n > most:
+            yield batch.column(0).slice(start, k - start), texts[start:k]
+            start, size = k, 0
+        size += n
+    if start < len(texts):
+        yield batch.column(0).slice(start), texts[start:]

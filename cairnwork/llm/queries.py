@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cnn, mixing, packing, quality_rules, sharding, tokens, toxicity
+from . import cnn, jaccard, mixing, packing, quality_rules, sharding, tokens, toxicity
 from .common import table
 
 
@@ -40,8 +40,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_mixing, op3_quality_rules, op4_packing, op5_quality_cnn, op6_toxicity_trees, op8_token_counts)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_mixing, op3_quality_rules, op4_packing, op5_quality_cnn, op6_toxicity_trees, op8_token_counts, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

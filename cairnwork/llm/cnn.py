@@ -177,6 +177,23 @@ def scored(docs: DataFrame, score, width: int = 4 << 20, id_col: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def with_scores(docs: DataFrame, score, name: str, text_col: str = "text") -> DataFrame:
+    """docs with all of its columns and the score of each row's text under a new name, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            done = 0
+            for part, texts in text_slices(batch.select([at, at])):
+                rows = batch.slice(done, len(part))
+                done += len(part)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score(texts), pa.float64())], names=[*rows.schema.names, name])
+
+    from pyspark.sql import types as T
+
+    return bounded_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted (1 if score >= 0.5).
 

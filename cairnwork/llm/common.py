@@ -17,16 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read back: its lineage ends there.
-
-    spark.checkpoint.dir wins; only a session without it (a local test) gets a local folder.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints: spark.checkpoint.dir wins; only a session without it (a local test) gets a local one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/cairnwork-{os.getuid()}"
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/cairnwork-{os.getuid()}")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder and read back: its lineage ends there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,8 +1,9 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration, in numpy.
 
 Features are densities of a lexicon and of word beginnings, both drawn from labelled rows, how near such words are to
-the second person, capitals, punctuation and obfuscation rates. The labelled sample is split: one part gives the
-lexicon, one the trees, one the calibration, so that the trees see the lexicon as new texts show it.
+the second person, capitals, punctuation and obfuscation rates. The trees
+learn each labelled row with a lexicon of other rows, so that they see the lexicon as new texts show it, and the
+calibration is fitted on rows that the trees haven't seen.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ STEM = 4
 RATIO, LEAST_ROWS, LEAST_SHARE = 12.0, 4, 0.015
 TREES, DEPTH, RATE, LEAVES = 60, 3, 0.2, 12
 BINS = 32
+FEATURES = 10
 NEAR = 4
 
 # Second-person words of the four languages, in lower case.
@@ -89,6 +91,7 @@ class Trees:
         rate = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
         self.base, self.trees = float(np.log(rate / (1 - rate))), []
         f = np.full(len(y), self.base)
+        self.least = max(2, min(LEAVES, int(min(y.sum(), len(y) - y.sum())) // 8))
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-f))
             tree, leaf = self._grow(b, y - p, p * (1 - p))
@@ -110,7 +113,7 @@ class Trees:
                 total_g, total_h = g[own].sum(), h[own].sum()
                 for j in range(b.shape[1]):
                     sg, sh, sn = (np.cumsum(np.bincount(b[own, j], w, BINS + 2)) for w in (g[own], h[own], None))
-                    ok = (sn >= LEAVES) & (len(own) - sn >= LEAVES)
+                    ok = (sn >= self.least) & (len(own) - sn >= self.least)
                     gain = np.where(ok, sg**2 / (sh + 1) + (total_g - sg) ** 2 / (total_h - sh + 1) - total_g**2 / (total_h + 1), 0)
                     at = int(gain.argmax())
                     if gain[at] > best[0]:
@@ -148,16 +151,20 @@ def isotonic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Toxicity:
-    def __init__(self, rows: list[tuple[str, int]]) -> None:
-        self.lexicon = Lexicon(rows[0::2])
-        x = np.array([self.lexicon.features(t) for t, _ in rows[1::2]]).reshape(-1, 10)
-        y = np.array([v for _, v in rows[1::2]], float)
-        part = np.arange(len(y)) % 3 < 2
+    def __init__(self, rows: list[tuple[str, int]], folds: int = 4) -> None:
+        """Features of each fold of the rows come from a lexicon of the other folds, as new texts will have them."""
+        x, y = np.zeros((len(rows), FEATURES)), np.array([v for _, v in rows], float)
+        for k in range(folds):
+            lexicon = Lexicon([r for i, r in enumerate(rows) if i % folds != k])
+            for i in range(k, len(rows), folds):
+                x[i] = lexicon.features(rows[i][0])
+        self.lexicon = Lexicon(rows)
+        part = np.arange(len(y)) // folds % 4 < 3
         self.trees = Trees().fit(x[part], y[part])
         self.at, self.rate = isotonic(self.trees.margin(x[~part]), y[~part])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        m = self.trees.margin(np.array([self.lexicon.features(t) for t in texts]))
+        m = self.trees.margin(np.array([self.lexicon.features(t) for t in texts]).reshape(-1, FEATURES))
         return np.interp(m, self.at, self.rate)
 
 

@@ -1,15 +1,86 @@
-"""Five stages over the documents, each from one operator: quality, toxicity, near copies, mixing, packing."""
+"""A corpus pipeline of five stages, each from one operator.
+
+quality (byte-level network), toxicity (boosted trees), near copies (Jaccard join: one document of each group stays),
+mixing (sources to target weights: a document is left out, kept or repeated), packing (sequences of 1024 tokens).
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairnwork.llm import cnn, jaccard, mixing, packing, toxicity
+from cairnwork.llm.common import checkpoint_folder, cut, table
+
+#: Rows of (row number, count) that go to every executor; more of them meet the documents in a shuffle.
+BROADCAST_ROWS = 500_000
+ROW = "row_number_of_this_stage"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row: its file split and place there, the same whenever the files are read."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _counted(marks: DataFrame, how: str, docs: DataFrame) -> DataFrame:
+    """docs joined by row number with a narrow table, which is sent to all if its checked size allows."""
+    if marks.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
+    return docs.join(marks, ROW, how)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.5 or more."""
+    model = cnn.train(docs, table(spark, sf_dir, "labels"))
+    return cnn.with_scores(docs, model.score, "score_of_stage").where("score_of_stage >= 0.5").drop("score_of_stage")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return cnn.with_scores(docs, model.score, "score_of_stage").where("score_of_stage < 0.5").drop("score_of_stage")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document of the smallest id; rows that share it are told apart by their number."""
+    rows = _numbered(docs)
+    found = jaccard.jaccard_components(rows, id_col=ROW).where("doc_id <> component_id OR n_shingles > 0").select(F.col("doc_id").alias(ROW), "component_id")
+    # Components of one row, nearly all, have nothing to drop.
+    member = found.join(found.where(f"{ROW} <> component_id").select("component_id").distinct(), "component_id", "left_semi")
+    member = member.join(rows.select(ROW, "doc_id"), ROW)
+    best = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_"), "doc_id", ROW)).alias("best"))
+    gone = member.join(best, "component_id").where(F.col(ROW) != F.col(f"best.{ROW}")).select(ROW)
+    return _counted(cut(gone), "left_anti", rows).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its beginning: not at all, once or twice."""
+    rows = _numbered(docs)
+    taken = mixing.mix(rows, carry=(ROW,)).where("copies > 0").select(F.col(f"row_.{ROW}").alias(ROW), F.col("copies").cast("int").alias("copies_of_stage"))
+    return _counted(cut(taken), "inner", rows).withColumn("copy_of_stage", F.explode(F.sequence(F.lit(1), "copies_of_stage"))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens, with a checksum of each piece's ids."""
+    pieces = packing.pack(docs)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality", quality), ("toxicity", toxic), ("near copies", near_copies), ("mixing", mix), ("packing", pack)]
 
-STAGES: list = []
+#: None: networks, trees and hashes have no SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents; what each keeps is written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

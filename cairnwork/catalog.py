@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "flagship"
+from .plans import conversations, corpus, evaluation, logs, packing  # noqa: F401  (each registers its queries)
+from .plans.registry import ORACLE, QUERIES
+
+FLAGSHIP = "t02_t06_quota_top_k"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

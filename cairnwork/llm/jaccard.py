@@ -5,7 +5,8 @@ first n - ceil(t n) + 1 in any order of tokens that all documents follow; here f
 with a token in that prefix form a block, and blocks led by the same node are one group. In a group a signature tree
 holds for each of its inner nodes the OR of token bitmaps and the range of set sizes; pairs of inner nodes whose
 largest possible overlap is too small for their sizes are dropped with all that is below them, and what remains is
-compared exactly. Pairs already known to be connected are skipped: the result is the components.
+compared exactly. Pairs already known to be connected are skipped: the result is the components. The traversal runs twice, first with
+bitmaps alone, so that only the sets of nodes that may have a partner are sent.
 """
 
 from __future__ import annotations
@@ -31,21 +32,70 @@ GROUP_BYTES = 24 << 20
 #: Bits of the bitmap that tells which documents' sets are needed; when it is full, all are sent and joined.
 NEED_BITS = 24
 FANOUT = 8
+#: Characters of text hashed at once.
+TEXT_BYTES = 1 << 20
 
 
-def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; fewer words are one shingle, no words none."""
-    w = (text or "").encode("utf-8", "replace").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    size = np.fromiter(map(len, w), np.int64, len(w)) + 1
-    end = np.cumsum(size) - 1
-    start = np.append(0, end[:-1] + 1)
-    n = max(1, len(w) - k + 1)
-    last = end[min(k, len(w)) - 1 :][:n]
-    line = b" ".join(w)
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(start[:n].tolist(), last.tolist(), strict=True)), np.uint64, n))
+_BYTE = np.random.default_rng(9).integers(0, 1 << 64, 256, np.uint64)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]  # A-Z count as a-z
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_PLACE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, n of each at least."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((_BASE, _INVERSE)):
+            p = np.full(1 << n.bit_length(), b, np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles.
+
+    Fewer words than k are one shingle, no words none. All texts are hashed together: a word's hash is a polynomial in
+    its bytes, taken from running sums, and a shingle's a sum over its words by place. Both are mixed.
+    """
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    line = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    power, inverse = _power(len(line) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[line] * power[: len(line)])])
+    gap = _GAP[line]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
+    start, end = edge[0::2], edge[1::2]  # the line ends with a gap
+    word = _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    first = np.searchsorted(start, np.append(0, ends))
+    out = []
+    whole = np.zeros(max(0, len(word) - k + 1), np.uint64)
+    for j in range(k):
+        whole += word[j : len(word) - k + 1 + j] * _place(j)
+    whole = _mix(whole + np.uint64(k))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= k:
+            out.append(np.unique(whole[a : b - k + 1]))
+        elif b > a:
+            h = sum((int(w) * int(_place(j)) for j, w in enumerate(word[a:b])), b - a) & (1 << 64) - 1
+            out.append(_mix(np.array([h], np.uint64)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def _place(j: int) -> np.uint64:
+    return _PLACE[j % len(_PLACE)] + np.uint64(2 * (j // len(_PLACE)))
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -97,30 +147,42 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+def signature(s: np.ndarray) -> tuple[bytes, int]:
+    """(two bit planes, tokens beyond them) of a set: bits with a token, bits with two, tokens that are third or later."""
+    bits = 1 << min(14, max(8, (2 * len(s) - 1).bit_length()))
+    c = np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits)
+    return np.packbits(c > 0).tobytes() + np.packbits(c > 1).tobytes(), int(np.maximum(c - 2, 0).sum())
+
+
+def _folded(raw: bytes, beyond: int, size: int) -> tuple[np.ndarray, int]:
+    """A signature as if made with planes of `size` bytes: halves are laid on each other."""
+    p = np.frombuffer(raw, np.uint8).reshape(2, -1)
+    while p.shape[1] > size:
+        h = p.shape[1] // 2
+        a, b = p[:, :h], p[:, h:]
+        beyond += int(np.bitwise_count(a[1] & b[0]).sum(dtype=np.int64) + np.bitwise_count(a[0] & b[1]).sum(dtype=np.int64))
+        p = np.stack([a[0] | b[0], a[1] | b[1] | (a[0] & b[0])])
+    return p.reshape(-1), beyond
+
+
 class SignatureTree:
-    """Bitmaps and size ranges over sets in the order of their least tokens; links() runs the dual traversal.
+    """Signatures and size ranges over sets in the order of their least tokens; links() runs the dual traversal.
 
-    A set's bitmap has two planes: a bit is set in the first if a token falls on it, in the second if two do; tokens
-    beyond are counted. The overlap of two sets is at most the common bits of both planes and the smaller count
-    beyond; ORs and maxima of these bound the overlap of any two sets below two inner nodes.
+    The overlap of two sets is at most the common bits of both planes and the smaller count beyond; ORs and maxima of
+    these bound the overlap of any two sets below two inner nodes. With sets, pairs that pass are compared exactly;
+    without, they count as linked.
     """
 
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> None:
+    def __init__(self, signatures: list[tuple[bytes, int]], sizes: list[int], least: list[int], labels: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> None:
         self.num, self.den = num, den
-        self.order = np.argsort(np.array([s[0] for s in sets], np.uint64), kind="stable")
-        self.sets = [sets[i] for i in self.order]
+        self.order = np.argsort(np.array(least, np.uint64), kind="stable")
+        self.sets = [sets[i] for i in self.order] if sets else None
         self.root = labels[self.order].copy()
-        n = np.array([len(s) for s in self.sets], np.int64)
-        bits = 1 << min(13, max(8, int(2 * np.median(n)).bit_length()))
-        first = np.zeros((len(n), bits // 8), np.uint8)
-        second = np.zeros_like(first)
-        beyond = np.zeros(len(n), np.int64)
-        for k, s in enumerate(self.sets):
-            c = np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits)
-            first[k], second[k] = np.packbits(c > 0), np.packbits(c > 1)
-            beyond[k] = np.maximum(c - 2, 0).sum()
-        planes = np.concatenate([first, second], 1).view(np.uint64)
-        self.levels = [(planes, beyond, n, n)]
+        n = np.array(sizes, np.int64)[self.order]
+        size = min(len(raw) // 2 for raw, _ in signatures)
+        folded = [_folded(*signatures[i], size) for i in self.order]
+        planes = np.stack([f[0] for f in folded]).view(np.uint64)
+        self.levels = [(planes, np.array([f[1] for f in folded], np.int64), n, n)]
         while len(self.levels[-1][1]) > FANOUT:
             p, b, low, high = self.levels[-1]
             at = np.arange(0, len(b), FANOUT)
@@ -151,9 +213,12 @@ class SignatureTree:
             for i, j in zip(u[:128].tolist(), v[:128].tolist(), strict=True):
                 if self.root[i] == self.root[j]:
                     continue
-                a, b = self.sets[i], self.sets[j]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if self.den * both >= self.num * (len(a) + len(b) - both):
+                linked = self.sets is None
+                if not linked:
+                    a, b = self.sets[i], self.sets[j]
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    linked = self.den * both >= self.num * (len(a) + len(b) - both)
+                if linked:
                     out.append((int(self.order[i]), int(self.order[j])))
                     x, y = self.root[i], self.root[j]
                     self.root[self.root == max(x, y)] = min(x, y)
@@ -189,52 +254,85 @@ class SignatureTree:
         return out
 
 
+def _groups(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[list[tuple]]:
+    """Rows' last columns, group by group, from batches sorted by the columns before."""
+    key, rows = None, []
+    for batch in batches:
+        cols = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+        for k, row in zip(zip(*cols[:-values], strict=True), zip(*cols[-values:], strict=True), strict=True):
+            if k != key:
+                if len(rows) > 1:
+                    yield rows
+                key, rows = k, []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+def _pairs_out(found: Iterator[list[tuple[int, int]]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, int]] = []
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array([f[k] for f in held], pa.int64()) for k in (0, 1)], names)
+    for pairs in found:
+        held += pairs
+        if len(held) > 10_000:
+            yield flush()
+            held = []
+    yield flush()
+
+
 def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) of the groups in batches (group..., fp, root, tokens), sorted by group."""
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        own = {}
-        for fp, root, raw in rows:
-            own.setdefault(fp, (root, np.frombuffer(raw, np.uint64)))
+        own = {fp: (root, np.frombuffer(raw, np.uint64)) for fp, root, raw in rows}
         if len(own) < 2:
             return []
         fps = list(own)
-        tree = SignatureTree([own[f][1] for f in fps], np.array([own[f][0] for f in fps], np.int64), num, den)
+        sets = [own[f][1] for f in fps]
+        tree = SignatureTree([signature(s) for s in sets], [len(s) for s in sets], [int(s[0]) for s in sets], np.array([own[f][0] for f in fps], np.int64), num, den, sets)
         return [(fps[i], fps[j]) for i, j in tree.links()]
 
-    def edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+    yield from _pairs_out((solve(rows) for rows in _groups(batches, 3)), ["a", "b"])
 
-    key, rows, found = None, [], []
-    for batch in batches:
-        keys = list(zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 3)), strict=True))
-        values = zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 3, batch.num_columns)), strict=True)
-        for k, row in zip(keys, values, strict=True):
-            if k != key:
-                found += solve(rows)
-                key, rows = k, []
-            rows.append(row)
-        if len(found) > 10_000:
-            yield edges(found)
-            found = []
-    found += solve(rows)
-    yield edges(found)
 
+def _possible_groups(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(leader, fp) of what signatures can't rule out, from (leader, fp, n, least, planes, beyond) sorted by leader.
+
+    Nodes connected by possible pairs are a group of their own, led by its first; nodes without one are gone.
+    """
+
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows = list({r[0]: r for r in rows}.values())
+        if len(rows) < 2:
+            return []
+        tree = SignatureTree([(r[3], r[4]) for r in rows], [r[1] for r in rows], [r[2] & (1 << 64) - 1 for r in rows], np.arange(len(rows)), num, den)
+        tree.links()
+        groups: dict[int, list[int]] = {}
+        for at, root in zip(tree.order.tolist(), tree.root.tolist(), strict=True):
+            groups.setdefault(root, []).append(rows[at][0])
+        return [(min(g), fp) for g in groups.values() if len(g) > 1 for fp in g]
+
+    yield from _pairs_out((solve(rows) for rows in _groups(batches, 5)), ["leader", "fp"])
+
+
+def _leaders(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(leader, fp) from (token, n, fp) in that order: each node with the first one of its block, if there are two.
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leader, fp) from (token, fp) in that order: each node with the first one of its token, if there are two."""
-    token = lead = None
+    A token's nodes fall into blocks where a size is too large for the size before it, and so for all before.
+    """
+    last = None
     for batch in batches:
-        t, f = (batch.column(k).to_numpy() for k in (0, 1))
-        new = np.append(True, t[1:] != t[:-1])
-        if token is not None and len(t) and t[0] == token:
-            new[0] = False
-            begin = np.append(-1, np.flatnonzero(new))
-            leads = np.append(lead, f[new])
-        else:
-            begin, leads = np.flatnonzero(new), f[new]
+        if not len(batch):
+            continue
+        t, n, f = (batch.column(k).to_numpy() for k in range(3))
+        apart = lambda t0, n0, t1, n1: (t0 != t1) | (den * n0 < num * n1)
+        new = np.append(last is None or bool(apart(last[0], last[1], t[0], n[0])), apart(t[:-1], n[:-1], t[1:], n[1:]))
+        begin = np.flatnonzero(new)
+        leads = f[begin]
+        if not new[0]:
+            begin, leads = np.append(0, begin), np.append(last[2], leads)
         own = leads[np.searchsorted(begin, np.arange(len(t)), side="right") - 1]
-        token, lead = t[-1], own[-1]
+        last = (t[-1], n[-1], own[-1])
         more = own != f
         yield pa.RecordBatch.from_arrays([pa.array(own[more]), pa.array(f[more])], ["leader", "fp"])
 
@@ -271,9 +369,9 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int =
                     del counts[a]
 
         for batch in batches:
-            for ids, texts in text_slices(batch):
+            for ids, texts in text_slices(batch, TEXT_BYTES):
                 fps, ns = [], []
-                for s in (shingles(t, k) for t in texts):
+                for s in shingle_sets(texts, k):
                     fps.append(fingerprint(s))
                     ns.append(len(s))
                     if ns[-1] and seen.new(fps[-1]):
@@ -287,7 +385,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int =
             tally()
         best = sorted(counts, key=lambda t: (-counts[t], t))[:frequent]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([False] * len(best)), pa.nulls(len(best), ids_type), _signed(np.array(best, np.uint64)), pa.array([counts[t] for t in best], pa.int64())],
+            [pa.array([False] * len(best), pa.bool_()), pa.nulls(len(best), ids_type), _signed(np.array(best, np.uint64)), pa.array([counts[t] for t in best], pa.int64())],
             ["doc", "doc_id", "fp", "n"],
         )
 
@@ -299,52 +397,75 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int =
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, order = _Seen(), table.value
         for batch in batches:
-            for _, texts in text_slices(batch):
-                tokens, fps, hots = [], [], []
-                for s in (shingles(t, k) for t in texts):
+            for _, texts in text_slices(batch, TEXT_BYTES):
+                tokens, ns, fps, hots = [], [], [], []
+                for s in shingle_sets(texts, k):
                     if len(s) and seen.new(fp := fingerprint(s)):
                         t, hot = order.prefix(s, prefix_size(len(s), num, den))
                         tokens.append(t)
                         hots.append(hot)
                         fps.append(np.full(len(t), fp, np.int64))
+                        ns.append(np.full(len(t), len(s), np.int32))
                 if fps:
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(hots))], ["token", "fp", "hot"])
+                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(hots))], ["token", "n", "fp", "hot"])
 
-    prefix = rows.mapInArrow(prefixes, "token long, fp long, hot boolean")
-    spread = prefix.where("NOT hot").select("token", "fp").repartition("token").sortWithinPartitions("token", "fp")
-    pairs = spread.mapInArrow(_leaders, "leader long, fp long")
+    prefix = rows.mapInArrow(prefixes, "token long, n int, fp long, hot boolean")
+    spread = prefix.where("NOT hot").select("token", "n", "fp").repartition("token").sortWithinPartitions("token", "n", "fp")
+    pairs = spread.mapInArrow(lambda batches: _leaders(batches, num, den), "leader long, fp long")
     if often:  # frequent tokens: their leaders are a bounded table, and their rows stay where they are
         hot = cut(prefix.where("hot").select("token", "fp"))
         leads = hot.groupBy("token").agg(F.min("fp").alias("leader"))
         pairs = pairs.union(hot.join(F.broadcast(leads), "token").where("fp <> leader").select("leader", "fp"))
     pairs = cut(pairs.distinct())
-    members = pairs.union(pairs.select("leader", F.col("leader").alias("fp")).distinct())
-
-    # A bitmap of the nodes whose sets are needed; of a fixed size, and only to spare the others the way.
-    spot = F.shiftrightunsigned("fp", 64 - NEED_BITS)
-    words = members.select(spot.alias("s_")).groupBy(F.shiftright("s_", 6).alias("w_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s_ & 63 as int))")).alias("v_")).collect()
-    bitmap = np.zeros(1 << NEED_BITS - 6, np.int64)
-    for r in words:
-        bitmap[r["w_"]] = r["v_"]
-    if not words:
-        return nodes.select("doc_id", "n_shingles", "fp").transform(lambda d: _with_components(d, None))
-    shared = sc.broadcast(bitmap.view(np.uint64))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, bits = _Seen(), shared.value
-        for batch in batches:
-            for _, texts in text_slices(batch):
-                fps, raws = [], []
-                for s in (shingles(t, k) for t in texts):
-                    if len(s) and seen.new(fp := fingerprint(s)):
-                        at = (fp & (1 << 64) - 1) >> 64 - NEED_BITS
-                        if int(bits[at >> 6]) >> (at & 63) & 1:
-                            fps.append(fp)
-                            raws.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(raws, pa.binary())], ["fp", "tokens"])
-
+    def of_members(pairs: DataFrame) -> tuple[DataFrame, object]:
+        """(pairs with the leader among its members, a bitmap of the members to spare other documents the way)."""
+        members = pairs.union(pairs.select("leader", F.col("leader").alias("fp"))).distinct()
+        spot = F.shiftrightunsigned("fp", 64 - NEED_BITS)
+        words = members.select(spot.alias("s_")).groupBy(F.shiftright("s_", 6).alias("w_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s_ & 63 as int))")).alias("v_")).collect()
+        bitmap = np.zeros(1 << NEED_BITS - 6, np.int64)
+        for r in words:
+            bitmap[r["w_"]] = r["v_"]
+        return members, sc.broadcast(bitmap.view(np.uint64)) if words else None
+
+    def of_sets(need, make, names: list[str]):
+        """A scan of the texts that sends make(set) of each node in the bitmap, once from a task."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen, bits = _Seen(), need.value
+            for batch in batches:
+                for _, texts in text_slices(batch, TEXT_BYTES):
+                    out = []
+                    for s in shingle_sets(texts, k):
+                        if len(s):
+                            fp = fingerprint(s)
+                            at = (fp & (1 << 64) - 1) >> 64 - NEED_BITS
+                            if int(bits[at >> 6]) >> (at & 63) & 1 and seen.new(fp):
+                                out.append((fp, *make(s)))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["fp", *names])
+
+        return run
+
+    members, need = of_members(pairs)
+    if need is None:
+        return _with_components(nodes, None)
+    look = of_sets(need, lambda s: (len(s), int(s[:1].view(np.int64)[0]), *signature(s)), ["n", "least", "planes", "beyond"])
+    signed = rows.mapInArrow(look, "fp long, n long, least long, planes binary, beyond long").dropDuplicates(["fp"])
+    signed = cut(members.join(signed, "fp"))
+    weight = signed.groupBy("leader").agg(F.sum(F.octet_length("planes") + 64).alias("w_")).where(f"w_ > {group_bytes}").select("leader")
+    weight = cut(weight)
+    vast = weight.count() > 0  # groups too large for one task skip this step
+    small = signed.join(weight, "leader", "left_anti") if vast else signed
+    small = small.select("leader", "fp", "n", "least", "planes", "beyond").repartition("leader").sortWithinPartitions("leader")
+    pairs = small.mapInArrow(lambda batches: _possible_groups(batches, num, den), "leader long, fp long")
+    if vast:
+        pairs = pairs.union(signed.join(weight, "leader", "left_semi").select("leader", "fp"))
+    members, need = of_members(cut(pairs.distinct()))
+    if need is None:
+        return _with_components(nodes, None)
+    sets = of_sets(need, lambda s: (s.tobytes(),), ["tokens"])
     wanted = rows.mapInArrow(sets, "fp long, tokens binary").dropDuplicates(["fp"])
-    full = members.join(wanted, "fp").withColumn("size_", F.octet_length("tokens"))
+    full = members.join(wanted, "fp")
     sizes = cut(members.join(nodes.select("fp", "n_shingles").distinct(), "fp").groupBy("leader").agg(F.sum(F.col("n_shingles") * 8).alias("bytes_")))
     large = sizes.where(f"bytes_ > {group_bytes}").select("leader", F.ceil(F.col("bytes_") / group_bytes).cast("long").alias("chunks_"))
     split = large.count() > 0

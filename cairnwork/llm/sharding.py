@@ -64,7 +64,8 @@ def _prefix(c: Column) -> Column:
 
 def _level(code: Column, low: Column, high: Column, bits: int) -> Column:
     """Equal-width step of code between the table's extremes."""
-    return F.floor((code - low).cast("double") * (1 << bits) / ((high - low).cast("double") + 1)).cast("int")
+    step = F.floor((code - low).cast("double") * (1 << bits) / ((high - low).cast("double") + 1)).cast("int")
+    return F.least(F.lit((1 << bits) - 1), step)  # wide codes round up to the end
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -108,7 +109,7 @@ def oracle_sql(shards: int = SHARDS, bits: int = BITS) -> str:
             v = v >> 1 ^ 0xEDB88320 if v & 1 else v >> 1
         steps.append(v)
     prefix = lambda c: f"CAST('0x' || rpad(hex(encode(coalesce({c}, '')))[1:{2 * PREFIX}], {2 * PREFIX}, '0') AS BIGINT)"
-    level = lambda k: f"CAST(floor(CAST(p{k} - min(p{k}) OVER () AS DOUBLE) * {1 << bits} / (CAST(max(p{k}) OVER () - min(p{k}) OVER () AS DOUBLE) + 1)) AS INT)"
+    level = lambda k: f"least({(1 << bits) - 1}, CAST(floor(CAST(p{k} - min(p{k}) OVER () AS DOUBLE) * {1 << bits} / (CAST(max(p{k}) OVER () - min(p{k}) OVER () AS DOUBLE) + 1)) AS INT))"
     return f"""
     WITH tab AS (SELECT {steps}::UBIGINT[] AS t, {curve(bits)}::INT[] AS curve),
     d AS (SELECT doc_id, coalesce(text, '') AS text, {prefix('lang')} AS p0, {prefix('source')} AS p1 FROM documents),

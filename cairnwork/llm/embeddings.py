@@ -253,3 +253,14 @@ def _joined(nodes: DataFrame, space: Subspaces, chunk: int) -> DataFrame:
     task = ["b", "c0", "c1", "kind", "i", "j"]
     s = s.select(*task, "side", "node_", "copies_", "v_").repartition(*task).sortWithinPartitions(*task)
     return s.mapInArrow(lambda batches: _solved(batches, space), "id long, links long, root long")
+
+
+def oracle_sql(cosine: float = COSINE) -> str:
+    """The same rows in DuckDB SQL, for small tables without nulls inside vectors: every pair is compared."""
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL),
+    u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS n FROM v WHERE list_dot_product(x, x) > 0 AND isfinite(list_dot_product(x, x))),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= {cosine}),
+    r AS (SELECT DISTINCT a AS vec_id, a AS root FROM e UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.root = e.a)
+    SELECT m.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, coalesce(c.root, m.vec_id) AS component_id, coalesce(c.root, m.vec_id) = m.vec_id AS kept FROM embeddings m
+    LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) l ON l.a = m.vec_id LEFT JOIN (SELECT vec_id, min(root) AS root FROM r GROUP BY 1) c ON c.vec_id = m.vec_id"""

@@ -522,3 +522,16 @@ def _with_components(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     least = cut(least.withColumnRenamed("fp", "f_"))
     out = nodes.join(least, own == F.col("f_"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def oracle_sql(num: int = NUM, den: int = DEN, k: int = SHINGLE) -> str:
+    """The same rows in DuckDB SQL, for small tables: all pairs with a common shingle are counted."""
+    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+    return rf"""
+    WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, md5(x) AS x FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END) AS x FROM t)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {den} * c >= {num} * (x.n + y.n - c)),
+    r AS (SELECT DISTINCT a AS doc_id, a AS root FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.root = e.a)
+    SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, coalesce(min(root), doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY doc_id"""

@@ -77,9 +77,9 @@ def schedule(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 def _laid_out(docs: DataFrame, size: Column, slots: int, seed: int, id_col: str, source_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(documents with their place in their source's shuffled words, schedule), the latter cut to the shared folder."""
-    key = F.xxhash64(F.col(id_col), F.lit(seed))
+    key = F.sha1(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row_"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.cast("long").alias("size"), key.alias("key_"))
-    d = d.withColumn("piece_", F.pmod(F.shiftright("key_", 40), F.lit(PIECES)).cast("int"))
+    d = d.withColumn("piece_", (F.conv(F.substring("key_", 1, 4), 16, 10).cast("int") * PIECES / (1 << 16)).cast("int"))
     d = cut(d.withColumn("uid_", F.monotonically_increasing_id()))
     by_piece = d.groupBy("source", "piece_").agg(F.sum("size").alias("n_"))
     before = W.partitionBy("source").orderBy("piece_").rowsBetween(W.unboundedPreceding, -1)
@@ -138,6 +138,21 @@ def mixture(docs: DataFrame, slots: int = SLOTS, seed: int = SEED, id_col: str =
     return _taken(placed, slot_rows).join(ids, F.col("uid_") == F.col("u_")).select("slot", "pass", "doc_id", "source", "from_word", "words")
 
 
-def oracle_sql(slots: int = SLOTS) -> str | None:
-    """None: the shuffle's order is a hash that DuckDB lacks; tests lay the words out one by one instead."""
-    return None
+def oracle_sql(slots: int = SLOTS, seed: int = SEED) -> str:
+    """The result of mix() in DuckDB SQL: each source's slots are counted, and its words laid end to end in one window."""
+    weight = ", ".join(f"{w}.0" for w in WEIGHTS)
+    return f"""
+    WITH d AS (SELECT doc_id, source, sha1('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+    w AS (SELECT *, ([{weight}])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS weight FROM s),
+    c AS (SELECT *, {MOST} * source_size / weight AS stop, {SHARE} * sum(source_size) OVER () - coalesce(sum({MOST} * source_size) OVER o, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS free, row_number() OVER (ORDER BY {MOST} * source_size / weight, source NULLS LAST) AS place
+        FROM w WINDOW o AS (ORDER BY {MOST} * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT arg_min(rest / free, place) AS level FROM c WHERE rest / free <= stop),
+    g AS (SELECT source, source_size, CASE WHEN stop <= level THEN {MOST}.0 * source_size ELSE least({MOST}.0 * source_size, coalesce(weight * level, {MOST}.0 * source_size)) END AS target FROM c, l),
+    h AS (SELECT *, sum(target) OVER () AS total, sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS upto, row_number() OVER (ORDER BY source DESC NULLS FIRST) = 1 AS last FROM g WHERE target > 0),
+    b AS (SELECT *, greatest(1, ceil(total / {slots}))::BIGINT AS block, coalesce(lag(upto) OVER (ORDER BY source NULLS LAST), 0.0) AS lo, CASE WHEN last THEN 2.0 ELSE upto END AS hi FROM h),
+    n AS (SELECT source, least(count(*) * any_value(block), {MOST} * any_value(source_size))::BIGINT AS words FROM b, (SELECT k, (k + 0.5) * {GOLDEN}::DOUBLE - floor((k + 0.5) * {GOLDEN}::DOUBLE) AS u FROM range({slots}) t(k)) p
+        WHERE u >= lo AND u < hi AND k < ceil(total / block) GROUP BY 1),
+    q AS (SELECT d.*, g.source_size, g.target, coalesce(n.words, 0) AS words, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+        FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN n ON d.source IS NOT DISTINCT FROM n.source)
+    SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(pos + size, words % source_size) - pos) END::BIGINT AS taken FROM q"""

@@ -57,5 +57,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_hilbert_sharding": sharding.oracle_sql(), "op3_quality_rules": quality_rules.oracle_sql()}
-    return {k: v for k, v in sql.items() if v}
+    """SQL for what SQL can express; the others are held against brute force in tests/llm."""
+    return {
+        "op1_hilbert_sharding": sharding.oracle_sql(),
+        "op2_mixing": mixing.oracle_sql(),
+        "op3_quality_rules": quality_rules.oracle_sql(),
+        "op7_embedding_pigeonhole": embeddings.oracle_sql(),
+        "op9_jaccard_join": jaccard.oracle_sql(),
+    }

@@ -126,6 +126,17 @@ def classify_prompt(c: Column) -> Column:
     return category(normalize_user_prompt(c), V.PROMPT_CATEGORIES, "grounded_qa")
 
 
+def classify_anchor(c: Column) -> Column:
+    """The category of a manual prompt; empty for prompts that are left out."""
+
+    def of(x: Column) -> Column:
+        plain = category(x, V.PROMPT_CATEGORIES, "grounded_qa")
+        reasons = (plain == "grounded_qa") & has_any(x, V.ANCHOR_EVIDENCE)
+        return F.when(has_any(x, V.ANCHOR_SEEKING), "information_seeking").when(has_any(x, V.ANCHOR_REASONING), "reasoning").when(has_any(x, V.ANCHOR_LEFT_OUT), "").when(reasons, "reasoning").otherwise(plain)
+
+    return let(F.lower(normalize_user_prompt(c)), of)
+
+
 def valid_pair(user: Column, assistant: Column, rules: str = "v3") -> Column:
     """Whether a pair meets a rule set. v3 normalises both sides (again) first."""
     limits = V.PAIR_LIMITS[rules]

@@ -18,6 +18,12 @@ SUM_WORDS = ("how many", "what percent", "total", "ratio", "probability", "equat
 THOUGHT_CATEGORIES = (("science", SCIENCE), ("puzzle", PUZZLE), ("math", MATH))
 PROMPT_CATEGORIES = (("science", SCIENCE), ("puzzle", PUZZLE), ("logic", LOGIC), ("data_analysis", DATA_WORDS), ("math", SUM_WORDS))
 
+# Words that class manual prompts before the keywords do, and those that leave them out.
+ANCHOR_SEEKING = ("budget", "compare models", "what two details", "what should i figure out first", "before comparing models")
+ANCHOR_REASONING = ("study order", "what should i do first", "what makes the most sense", "stronger evidence")
+ANCHOR_LEFT_OUT = ("phishing", "exactly two bullets")
+ANCHOR_EVIDENCE = ("evidence", "compare", "which is stronger")
+
 # Beginnings that are taken off, each once, in this order.
 ANSWER_BEGINNINGS = (
     r"^let'?s think step by step[:,\s-]*", r"^let'?s solve this(?: carefully)?[:,\s-]*", r"^we need to[:,\s-]*", r"^here(?:'s| is) (?:a )?(?:concise )?solution[:,\s-]*", r"^step-by-step explanation[:,\s-]*",

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import CHANCE
-from ..operators import ordered as O
+from ..functions import sequences as Q
+from ..operators import decisions as D
 from ..operators import statistics as S
 from .registry import query, read
 
@@ -247,3 +248,44 @@ def g13_sweep_gate(spark, sf_dir):
     g = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("best"), F.max(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))).alias("b"))
     control = F.coalesce("b", F.lit(22.5))
     return g.select("c_nationkey", control.alias("control"), "best", (F.col("best") >= control + 100).alias("go"))
+
+
+@query("SELECT vec_id, list_position(m, list_min(m)) - 1 AS choice FROM (SELECT vec_id, list_transform([1, 17, 33, 49], lambda i: list_sum(list_transform(embedding[i:i + 7], lambda x: x::DOUBLE)) / 8) AS m FROM embeddings)")
+def e01_m11_option_losses(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("losses"))
+    means = F.array(*[Q.span_mean(F.col("losses"), F.lit(a), F.lit(a + 8)) for a in (1, 17, 33, 49)])
+    return e.select("vec_id", Q.least_option(means).cast("int").alias("choice"))
+
+
+@query("SELECT doc_id, CASE WHEN n > 300 THEN NULL ELSE n END AS kept FROM (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)")
+def e02_overflow_skip(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("ids"))
+    fit = Q.fit(F.col("ids"), F.lit(1), F.size("ids"), 300, "skip")
+    return d.select("doc_id", F.when(fit.isNotNull(), F.size(fit["ids"])).cast("long").alias("kept"))
+
+
+@query("SELECT doc_id, CASE WHEN n > 300 AND n - 100 - (n - 300) < 0 THEN NULL ELSE n - 100 - greatest(0, n - 300) END AS start FROM (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) WHERE n > 100")
+def m08_truncate_left(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("ids")).where("size(ids) > 100")
+    return d.select("doc_id", Q.fit(F.col("ids"), F.size("ids") - 100, F.size("ids"), 300, "truncate")["start"].cast("long").alias("start"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 150000 + 5000 THEN 'promote' WHEN o_totalprice <= 150000 - 100000 THEN 'hard_fail' ELSE 'hold' END AS decision FROM orders")
+def g06_against_reference(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", D.against_reference(F.col("o_totalprice"), F.lit(150000), 5000, 100000).alias("decision"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(p_type, 'BRASS') THEN 3.0 ELSE 2.0 END * p_size AS cost FROM part".replace("contains(p_type, 'BRASS')", "contains(p_name, 'H100')"))
+def a31_cost(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", D.hourly_cost(F.col("p_name"), F.col("p_size")).alias("cost"))
+
+
+@query("SELECT s AS ratio, CAST(floor(floor(s * 419958144.0) / 524288) AS BIGINT) AS step FROM generate_series(1, 60) t(s)")
+def m03_m14_target_step(spark, sf_dir):
+    return spark.range(1, 61).select(F.col("id").alias("ratio"), D.target_step(F.col("id"), 419958144, 524288).alias("step"))
+
+
+@query("SELECT event_type, arg_min(user_id, o) FILTER (ok) AS chosen FROM (SELECT event_type, user_id, min(event_id) AS o, max(value) > 400 AS ok FROM events GROUP BY 1, 2) GROUP BY 1")
+def g08_first_passing(spark, sf_dir):
+    g = read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.min("event_id").alias("o"), (F.max("value") > 400).alias("ok"))
+    return D.first_passing(g, "event_type", "o", F.col("ok"), "user_id")

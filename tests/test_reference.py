@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from cairnwork import catalog
 from cairnwork.functions import logs as L
+from cairnwork.functions import sequences as Q
 from cairnwork.functions import text as X
+from cairnwork.functions.calculator import calculate
+from cairnwork.operators import decisions as D
 from cairnwork.operators import conversation as C
 from cairnwork.operators import packing as P
 from cairnwork.operators import statistics as S
@@ -163,3 +166,39 @@ def test_files_and_streams(spark, tmp_path):
     q = out.writeStream.outputMode("complete").format("memory").queryName("latest_steps").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.sql("SELECT step, loss FROM latest_steps").collect()] == [(2, 2.5)]
+
+
+@pytest.mark.parametrize(
+    ("call", "want"),
+    [("12/60=0.2", "0.2"), ("1,000 + 5", "1005"), ("2**9", None), ("'strawberry'.count('r')", "3"), ("__import__('os')", None), ("1/0", None), ("7 // 2\nmore", "3"), ("", None), (None, None), ("open('x').count('a')", None)],
+)
+def test_calculator(call, want):
+    assert calculate(call) == want
+
+
+def test_sequences(spark):
+    r = spark.sql("SELECT array(array(1, 2, 3, 9), array(1, 2, 4, 9)) AS s, array(5, 6, 7, 8) AS ids, array(0.5D, 1.5D, 2.5D, 3.5D) AS losses, array(6, 7, 0, 0) AS p")
+    x = r.select(
+        Q.common_length(F.col("s")).alias("a"), Q.common_length(F.col("s"), True).alias("b"), Q.span_mean(F.col("losses"), F.lit(1), F.lit(3)).alias("m"), Q.span_matches(F.col("p"), F.col("ids"), F.lit(1), F.lit(3)).alias("ok"),
+        Q.fit(F.col("ids"), F.lit(2), F.lit(4), 3, "truncate").alias("f"), Q.fit(F.col("ids"), F.lit(0), F.lit(4), 3, "truncate").alias("g"), Q.padded(F.array(F.col("ids"), F.array(F.lit(1))), F.lit(0)).alias("pad"),
+    ).first()
+    assert (x["a"], x["b"], x["m"], x["ok"], x["f"]["ids"], x["f"]["start"], x["g"]) == (2, 1, 1.0, True, [6, 7, 8], 1, None) and x["pad"][1] == [1, 0, 0, 0]
+
+
+def test_prompts(spark):
+    d = spark.sql("SELECT 'Q' AS query, array('a', 'b') AS choices, array(struct('P' AS query, array('x', 'y') AS choices, 1 AS gold)) AS shots, ' c ' AS context, array(struct('k ' AS context, 'v' AS continuation)) AS lm")
+    x = d.select(Q.prompts_choice(F.col("query"), F.col("choices"), F.col("shots"), ": ").alias("m"), Q.prompts_continuation(F.col("context"), F.lit("w"), F.col("lm"), " ").alias("l")).first()
+    assert x["m"] == ["P: y\n\nQ: a", "P: y\n\nQ: b"] and x["l"] == ["k v\n\nc", "k v\n\nc w"]
+
+
+def test_decisions(spark):
+    runs = spark.createDataFrame([("a", "full_confirm", 5.0, 28.0), ("a", "full_confirm", 4.0, 27.0), ("b", "full_confirm", 1.0, 30.0), ("c", "oom", None, None)], "g string, status string, gsm8k_pass8 double, mmlu double")
+    assert {r["g"]: r["decision"] for r in D.promotion(runs, "g").collect()} == {"a": "promote", "b": "hold", "c": "failed"}
+    assert D.rebalanced({"reasoning": 5, "x": 10}, 12) == {"reasoning": 2, "x": 10} and D.rebalanced({"x": 20}, 5)["reasoning"] == 0
+    go, failed = D.stability({"rows": F.col("mmlu") > 20, "gsm": F.col("gsm8k_pass8") > 2})
+    assert [tuple(r) for r in runs.where("g = 'b'").select(go, failed).collect()] == [("NO_GO", ["gsm"])]
+
+
+def test_anchor_classes(spark):
+    for text, want in (("My budget is small", "information_seeking"), ("a phishing mail", ""), ("compare these", "reasoning"), ("a physics budget", "information_seeking"), ("hello", "grounded_qa")):
+        assert one(spark, X.classify_anchor(F.col("t")), t=text) == want

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -29,10 +26,3 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     """A driver table as a DataFrame; the path is read by Spark only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else a local one for tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.gettempdir()}/cairnwork-checkpoints-{os.getuid()}"
-    return where

@@ -131,7 +131,7 @@ def test_logs(spark):
     c = one(spark, L.core_task_line(F.col("t")), t="Evaluating: copa (0-shot, type: multiple_choice)... accuracy: 0.6100 | centered: 0.2200 | evaluated: 100 | skipped: 0 | time: 2.13s")
     assert (c["task"], c["shots"], c["accuracy"], c["evaluated"]) == ("copa", 0, 0.61, 100)
     assert one(spark, L.ratio(F.col("t"), "MMLU"), t="MMLU: 234/1000 = 23.40% | x")["k"] == 234
-    assert one(spark, L.is_bad(F.col("t")), t="nanochat runs") is False and one(spark, L.is_bad(F.col("t"), False), t="nanochat runs") is True
+    assert one(spark, L.is_bad(F.col("t")), t="a nanosecond run") is False and one(spark, L.is_bad(F.col("t"), False), t="a nanosecond run") is True
 
 
 def test_statistics(spark):

@@ -202,3 +202,19 @@ def test_decisions(spark):
 def test_anchor_classes(spark):
     for text, want in (("My budget is small", "information_seeking"), ("a phishing mail", ""), ("compare these", "reasoning"), ("a physics budget", "information_seeking"), ("hello", "grounded_qa")):
         assert one(spark, X.classify_anchor(F.col("t")), t=text) == want
+
+
+def test_curation(spark):
+    from cairnwork.plans import curation
+
+    long = "The sum of the two given numbers is found by adding them together one at a time. "
+    rows = [
+        (0, "Explain the physics of a falling ball in simple words please.", long + "Final answer: 4."), (1, "explain the PHYSICS of a falling ball in simple words please.", long), (2, "Write a function in python that adds two numbers together.", long),
+        (3, "too short", long), (4, "Solve this riddle about a knight and a liar who both sit at a table.", long), (5, "A riddle about seating three guests around a small round table now.", long + "It ends here."), (6, "Another planet question that asks about orbits of distant stars.", "```x```"),
+    ]
+    d = spark.createDataFrame(rows, "ord long, user string, assistant string")
+    got = curation.curate(d, "s", curation.quota_table(spark, {"science": 5, "puzzle": 1})).orderBy("ord").collect()
+    assert [(r["ord"], r["category"]) for r in got] == [(0, "science"), (4, "puzzle")] or [(r["ord"], r["category"]) for r in got] == [(0, "science"), (5, "puzzle")]
+    assert got[0]["assistant"].startswith("Answer: 4\nWhy: The sum")
+    best = max((r for r in rows if r[0] in (4, 5)), key=lambda r: (max(0, 900 - len(r[2].strip())) * 10_000 + max(0, 220 - len(r[2].split())) * 1_000 + max(0, 700 - len(r[1]))))
+    assert got[1]["ord"] == best[0]

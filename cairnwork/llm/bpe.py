@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Distinct chunks that a worker remembers before it starts anew.
 REMEMBER = 600_000
+#: Fixed value: the pre-token rule of this kind of tokenizer.
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space of the pre-token rule (Unicode), other than the plain space, before one.
 _SPACE_BEFORE = [chr(c) + " " for c in (*range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -63,7 +66,8 @@ class _Pairs:
 class ByteBPE:
     """A tokenizer file of the `tokenizers` library of kind byte-level BPE, read for encoding only."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, native: bool = False) -> None:
+        """native: new chunks are merged by a compiled encoder over the same ranks, not by merge()."""
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -77,6 +81,12 @@ class ByteBPE:
             self.first[b] = vocab[c]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         pairs = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int64).reshape(-1, 3)
+        self.compiled = None
+        if native and (np.diff(pairs[:, 2]) > 0).all():  # merges are in the order of their ids: ids are ranks
+            import tiktoken
+
+            ranks = {bytes(of[c] for c in t): k for t, k in vocab.items() if all(c in of for c in t) and t not in {a["content"] for a in spec["added_tokens"]}}
+            self.compiled = tiktoken.Encoding("own", pat_str=RULE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pairs = _Pairs(pairs[:, 0], pairs[:, 1], pairs[:, 2])
         for t in spec["added_tokens"]:
             if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
@@ -84,8 +94,8 @@ class ByteBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.short = max([*vocab.values(), *self.special.values()]) < 1 << 16  # ids fit two bytes
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        # The rule of this kind of tokenizer: contractions, then runs of letters, digits or others with one space before.
-        self.rule = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        # Contractions, then runs of letters, digits or others with one space before.
+        self.rule = regex.compile(RULE)
         self.known: dict[str, bytes] = {}  # of chunks after a space
         self.first_known: dict[str, bytes] = {}  # of others
 
@@ -130,6 +140,10 @@ class ByteBPE:
 
         before: what stands before each chunk, the space or nothing. A chunk of letters is one token as it is.
         """
+        if self.compiled:
+            encode = self.compiled
+            known.update((c, array("I", encode(before + c)).tobytes()) for c in chunks)
+            return
         pieces: list[bytes] = []
         ends = [0]
         find = self.rule.findall
@@ -181,6 +195,6 @@ _at_single_space = re.compile(r"(?<=\S)(?= \S)")
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> ByteBPE:
+def load(path: str, native: bool = False) -> ByteBPE:
     """One tokenizer for each file and worker process."""
-    return ByteBPE(path)
+    return ByteBPE(path, native)

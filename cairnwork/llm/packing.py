@@ -138,7 +138,7 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW,
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.load(tokenizer_path(tokenizer))
+        encoder = bpe.load(tokenizer_path(tokenizer), native=True)
         part, seen, windows = TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

@@ -46,6 +46,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("source", "source_size", F.when(F.col("stop_") <= F.col("level_"), full).otherwise(F.least(full, F.coalesce(F.col("weight_") * F.col("level_"), full))).alias("target"))
 
 
+def blocks(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """goals with the mix's words sum_ and the words of a block, the same for all sources."""
+    total = F.sum("target").over(W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return goals.withColumn("sum_", total).withColumn("block_words", F.greatest(F.lit(1), F.ceil(F.col("sum_") / slots)).cast("long"))
+
+
 def schedule(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(slot, source, rank, block_words): which source each slot takes, and which of that source's blocks.
 
@@ -54,12 +60,12 @@ def schedule(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
     """
     spark = goals.sparkSession
     up = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    everything = W.partitionBy(F.lit(0))
-    g = goals.where("target > 0").withColumn("sum_", F.sum("target").over(everything)).withColumn("to_", F.sum("target").over(up) / F.col("sum_"))
+    g = goals if "block_words" in goals.columns else blocks(goals, slots)
+    g = g.where("target > 0").withColumn("to_", F.sum("target").over(up) / F.col("sum_"))
     last = W.orderBy(F.col("source").asc_nulls_last())
     g = g.withColumn("from_", F.coalesce(F.lag("to_").over(last), F.lit(0.0)))
     g = g.withColumn("to_", F.when(F.lead("to_").over(last).isNull(), 2.0).otherwise(F.col("to_")))
-    g = g.select("source", "from_", "to_", F.greatest(F.lit(1), F.ceil(F.col("sum_") / slots)).cast("long").alias("block_words"), F.col("sum_"))
+    g = g.select("source", "from_", "to_", "block_words", "sum_")
     point = (F.col("id") + 0.5) * GOLDEN
     k = spark.range(0, slots, 1, 8).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("point_"))
     # The slots are a fixed number and the sources are few; the range join has the sources' side checked by Spark.
@@ -84,13 +90,12 @@ def _laid_out(docs: DataFrame, size: Column, slots: int, seed: int, id_col: str,
     by_piece = d.groupBy("source", "piece_").agg(F.sum("size").alias("n_"))
     before = W.partitionBy("source").orderBy("piece_").rowsBetween(W.unboundedPreceding, -1)
     by_piece = cut(by_piece.select(F.col("source").alias("s_"), F.col("piece_").alias("q_"), "n_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_")))
-    goals = cut(targets(by_piece.groupBy(F.col("s_").alias("source")).agg(F.sum("n_").alias("source_size"))))
-    block = goals.agg(F.greatest(F.lit(1), F.ceil(F.sum("target") / slots)).cast("long").alias("block_words"))  # as in schedule()
-    places = by_piece.join(goals.withColumnRenamed("source", "g_"), F.col("s_").eqNullSafe(F.col("g_"))).drop("g_", "n_").crossJoin(F.broadcast(block))
+    goals = cut(blocks(targets(by_piece.groupBy(F.col("s_").alias("source")).agg(F.sum("n_").alias("source_size"))), slots))
+    places = by_piece.join(goals.withColumnRenamed("source", "g_"), F.col("s_").eqNullSafe(F.col("g_"))).drop("g_", "n_", "sum_")
     inside = W.partitionBy("source", "piece_").orderBy("key_", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = d.withColumn("at_", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(places, F.col("source").eqNullSafe(F.col("s_")) & (F.col("piece_") == F.col("q_"))).withColumn("at_", F.col("at_") + F.col("start_"))
-    return placed.drop("s_", "q_", "start_", "key_", "piece_"), cut(schedule(goals, slots).join(goals.withColumnRenamed("source", "g_"), F.col("source").eqNullSafe(F.col("g_"))).drop("g_"))
+    return placed.drop("s_", "q_", "start_", "key_", "piece_"), cut(schedule(goals, slots).join(goals.select(F.col("source").alias("g_"), "source_size"), F.col("source").eqNullSafe(F.col("g_"))).drop("g_"))
 
 
 def _taken(placed: DataFrame, slot_rows: DataFrame) -> DataFrame:

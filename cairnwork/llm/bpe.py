@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct chunks that a worker remembers before it starts anew.
-REMEMBER = 600_000
+REMEMBER = 250_000
 #: Fixed value: the pre-token rule of this kind of tokenizer.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space of the pre-token rule (Unicode), other than the plain space, before one.

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_slices
+from .common import bounded_batches, text_slices, tidy
 
 EMBED, WIDTH, FILTERS = 8, 6, 16
 BLOCK = 64
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ByteCNN().fit(labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, TRAIN_ROWS, SEED, id_col, text_col))
 
 
-def scored(docs: DataFrame, score, width: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, score, width: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each row by score(texts) in Arrow batches, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,7 @@ def scored(docs: DataFrame, score, width: int = 4 << 20, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([ids, pa.array(score(texts), pa.float64())], ["doc_id", "score"])
 
     rows = bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def with_scores(docs: DataFrame, score, name: str, text_col: str = "text") -> DataFrame:
@@ -191,7 +191,7 @@ def with_scores(docs: DataFrame, score, name: str, text_col: str = "text") -> Da
 
     from pyspark.sql import types as T
 
-    return bounded_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return bounded_batches(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

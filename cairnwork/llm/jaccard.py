@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, connected_components, cut, text_slices
+from .common import bounded_batches, connected_components, cut, text_slices, tidy
 
 SHINGLE = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
@@ -131,7 +131,7 @@ class Frequent:
 class _Seen:
     """Fingerprints met in a task, as far as a bound; forgetting one only costs a row more."""
 
-    def __init__(self, most: int = 1 << 20) -> None:
+    def __init__(self, most: int = 1 << 18) -> None:
         self.own, self.most = set(), most
 
     def new(self, fp: int) -> bool:
@@ -364,8 +364,8 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int =
             often = c > 2
             for a, b in zip(t[often].tolist(), c[often].tolist(), strict=True):
                 counts[a] = counts.get(a, 0) + b
-            if len(counts) > 4 * frequent:
-                for a in sorted(counts, key=counts.get)[: len(counts) - 2 * frequent]:
+            if len(counts) > 2 * frequent:
+                for a in sorted(counts, key=counts.get)[: len(counts) - frequent]:
                     del counts[a]
 
         for batch in batches:
@@ -377,7 +377,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int =
                     if ns[-1] and seen.new(fps[-1]):
                         held.append(s)
                         held_n += len(s)
-                if held_n > 3 << 20:
+                if held_n > 1 << 20:
                     tally()
                     held, held_n = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([True] * len(fps)), ids, pa.array(fps, pa.int64()), pa.array(ns, pa.int64())], ["doc", "doc_id", "fp", "n"])
@@ -389,7 +389,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int =
             ["doc", "doc_id", "fp", "n"],
         )
 
-    scanned = cut(rows.mapInArrow(scan, f"doc boolean, doc_id {kind}, fp long, n long"))
+    scanned = cut(rows.mapInArrow(tidy(scan), f"doc boolean, doc_id {kind}, fp long, n long"))
     nodes = scanned.where("doc").select("doc_id", "fp", F.col("n").alias("n_shingles"))
     often = scanned.where("NOT doc").groupBy("fp").agg(F.sum("n").alias("n")).where(f"n >= {FREQUENT_LEAST}").orderBy(F.desc("n"), "fp").limit(frequent).collect()
     table = sc.broadcast(Frequent(np.array([r["fp"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)))
@@ -409,14 +409,15 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int =
                 if fps:
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(hots))], ["token", "n", "fp", "hot"])
 
-    prefix = rows.mapInArrow(prefixes, "token long, n int, fp long, hot boolean")
+    prefix = rows.mapInArrow(tidy(prefixes), "token long, n int, fp long, hot boolean")
     spread = prefix.where("NOT hot").select("token", "n", "fp").repartition("token").sortWithinPartitions("token", "n", "fp")
-    pairs = spread.mapInArrow(lambda batches: _leaders(batches, num, den), "leader long, fp long")
+    pairs = spread.mapInArrow(tidy(lambda batches: _leaders(batches, num, den)), "leader long, fp long")
     if often:  # frequent tokens: their leaders are a bounded table, and their rows stay where they are
         hot = cut(prefix.where("hot").select("token", "fp"))
         leads = hot.groupBy("token").agg(F.min("fp").alias("leader"))
         pairs = pairs.union(hot.join(F.broadcast(leads), "token").where("fp <> leader").select("leader", "fp"))
     pairs = cut(pairs.distinct())
+
     def of_members(pairs: DataFrame) -> tuple[DataFrame, object]:
         """(pairs with the leader among its members, a bitmap of the members to spare other documents the way)."""
         members = pairs.union(pairs.select("leader", F.col("leader").alias("fp"))).distinct()
@@ -450,21 +451,21 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int =
     if need is None:
         return _with_components(nodes, None)
     look = of_sets(need, lambda s: (len(s), int(s[:1].view(np.int64)[0]), *signature(s)), ["n", "least", "planes", "beyond"])
-    signed = rows.mapInArrow(look, "fp long, n long, least long, planes binary, beyond long").dropDuplicates(["fp"])
+    signed = rows.mapInArrow(tidy(look), "fp long, n long, least long, planes binary, beyond long").dropDuplicates(["fp"])
     signed = cut(members.join(signed, "fp"))
     weight = signed.groupBy("leader").agg(F.sum(F.octet_length("planes") + 64).alias("w_")).where(f"w_ > {group_bytes}").select("leader")
     weight = cut(weight)
     vast = weight.count() > 0  # groups too large for one task skip this step
     small = signed.join(weight, "leader", "left_anti") if vast else signed
     small = small.select("leader", "fp", "n", "least", "planes", "beyond").repartition("leader").sortWithinPartitions("leader")
-    pairs = small.mapInArrow(lambda batches: _possible_groups(batches, num, den), "leader long, fp long")
+    pairs = small.mapInArrow(tidy(lambda batches: _possible_groups(batches, num, den)), "leader long, fp long")
     if vast:
         pairs = pairs.union(signed.join(weight, "leader", "left_semi").select("leader", "fp"))
     members, need = of_members(cut(pairs.distinct()))
     if need is None:
         return _with_components(nodes, None)
     sets = of_sets(need, lambda s: (s.tobytes(),), ["tokens"])
-    wanted = rows.mapInArrow(sets, "fp long, tokens binary").dropDuplicates(["fp"])
+    wanted = rows.mapInArrow(tidy(sets), "fp long, tokens binary").dropDuplicates(["fp"])
     full = members.join(wanted, "fp")
     sizes = cut(members.join(nodes.select("fp", "n_shingles").distinct(), "fp").groupBy("leader").agg(F.sum(F.col("n_shingles") * 8).alias("bytes_")))
     large = sizes.where(f"bytes_ > {group_bytes}").select("leader", F.ceil(F.col("bytes_") / group_bytes).cast("long").alias("chunks_"))
@@ -476,7 +477,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, k: int =
         full = full.withColumn("chunk_", F.lit(0).cast("long"))
     solve = lambda batches: _links(batches, num, den)
     first = full.select("leader", "chunk_", "fp", F.col("fp").alias("root"), "tokens").repartition("leader", "chunk_").sortWithinPartitions("leader", "chunk_")
-    links = cut(first.mapInArrow(solve, "a long, b long"))
+    links = cut(first.mapInArrow(tidy(solve), "a long, b long"))
     roots = connected_components(links)
     if split:
         links = links.union(_across(cut(full.where("chunks_ > 1")), cut(roots), group_bytes, solve))
@@ -505,7 +506,7 @@ def _across(full: DataFrame, roots: DataFrame, group_bytes: int, solve) -> DataF
     to_others = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), F.col("own").alias("j")))
     m = m.withColumn("t_", F.explode(F.when(F.col("other"), F.concat(with_others, with_main)).otherwise(to_others)))
     m = m.select("leader", "t_.side", "t_.i", "t_.j", "fp", "root", "tokens")
-    return m.repartition("leader", "side", "i", "j").sortWithinPartitions("leader", "side", "i", "j").mapInArrow(solve, "a long, b long")
+    return m.repartition("leader", "side", "i", "j").sortWithinPartitions("leader", "side", "i", "j").mapInArrow(tidy(solve), "a long, b long")
 
 
 def _with_components(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:

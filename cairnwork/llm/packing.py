@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import bounded_batches, cut, text_slices
+from .common import bounded_batches, cut, text_slices, tidy
 from .tokens import TOKENIZER, tokenizer_path
 
 WINDOW = 1024
@@ -160,7 +160,7 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW,
 
     rows = bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return cut(rows.mapInArrow(encode, f"doc_id {kind}, part int, nth long, rest int, whole long, before long, ids binary, short boolean"))
+    return cut(rows.mapInArrow(tidy(encode), f"doc_id {kind}, part int, nth long, rest int, whole long, before long, ids binary, short boolean"))
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,4 +217,4 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, end_
                     at, start, length, ids, total, sequence, offset, size = [], [], [], [], [], [], [], 0
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import bounded_batches, text_slices
+from .common import bounded_batches, text_slices, tidy
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -42,4 +42,4 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
 
     rows = bounded_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(count), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

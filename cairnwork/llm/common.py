@@ -1,16 +1,16 @@
-"""Shared pieces of the operators here: word rule, checkpoints, ranks, connected components."""
+"""Shared pieces of the operators here: word rule, batches, connected components."""
 
 from __future__ import annotations
 
 import ctypes
 import ctypes.util
-import os
-import tempfile
 
 import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import checkpoint_folder, cut, global_rank  # noqa: F401  (the operators here take them from this module)
+
 #: The white space that ends a word: space and \x09-\x0D. Everything else is part of a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,20 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints: spark.checkpoint.dir wins; only a session without it (a local test) gets a local one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/cairnwork-{os.getuid()}")
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read back: its lineage ends there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
@@ -44,30 +30,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def global_rank(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df with `rank_` (0, 1, ... in the order of keys), written and read back.
-
-    One range shuffle: Spark samples the keys and splits any run of equal leading keys, so a hot key
-    doesn't meet in one task. The rank is the offset of the range partition plus the place in it, both
-    taken from monotonically_increasing_id() of the checkpointed rows. The offsets are one row for each
-    partition; their running sum is the only step in one task.
-    """
-    from pyspark.sql import Window as W
-
-    ordered = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-    ids = cut(ordered.withColumn("mid_", F.monotonically_increasing_id()))
-    part = F.shiftright("mid_", 33)
-    sizes = ids.groupBy(part.alias("part_")).agg(F.count("*").alias("n_"))
-    before = W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
-    return (
-        ids.withColumn("part_", part)
-        .join(F.broadcast(starts), "part_")  # a row for each shuffle partition
-        .withColumn("rank_", F.col("start_") + F.col("mid_").bitwiseAND((1 << 33) - 1))
-        .drop("part_", "mid_", "start_")
-    )
-
-
 def connected_components(edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the smallest node reachable.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import global_rank
+
 
 def slice_view(df: DataFrame, idx: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
     """Rows start, start + step, ... below stop, numbered anew from 0. A stop beyond the table isn't clamped."""
@@ -31,8 +33,11 @@ def resume_after(df: DataFrame, file: str, group: str, cursor: tuple[int, int])
     return df.where(F.struct(F.col(file).cast("long"), F.col(group).cast("long")) > F.struct(F.lit(cursor[0]).cast("long"), F.lit(cursor[1]).cast("long")))
 
 
-def epochs(df: DataFrame, n: int) -> DataFrame:
-    """The table n times over, with the epoch from 1."""
+def epochs(df: DataFrame, n: int, idx: str | None = None, rank: int | None = None, world: int = 1) -> DataFrame:
+    """The table n times over, with the epoch from 1. With idx, rank is idx % world, of one rank if it is given, else of all."""
+    if idx is not None:
+        df = df.withColumn("rank", F.col(idx) % world)
+        df = df if rank is None else df.where(F.col("rank") == rank)
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
@@ -86,6 +91,12 @@ def hashed_order(df: DataFrame, idx: str, seed: int) -> DataFrame:
     return df.withColumn("shuffle_key", F.sha1(F.concat(F.lit(f"{seed}:"), F.col(idx).cast("string")).cast("binary")))
 
 
+def shuffled_places(df: DataFrame, idx: str, seed: int) -> DataFrame:
+    """place: each row's position from 0 in the hashed order of all rows, from one range shuffle."""
+    ranked = global_rank(hashed_order(df, idx, seed), ["shuffle_key", idx])
+    return ranked.withColumnRenamed("rank_", "place").drop("shuffle_key")
+
+
 def mixture(tasks: list[tuple[DataFrame, int]], seed: int = 42) -> DataFrame:
     """Rows (task_idx, local_idx, copy, ...) of all tasks, each repeated so many times, with a shuffle key."""
     out = None

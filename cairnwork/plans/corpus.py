@@ -37,8 +37,14 @@ def s03_strided_row_groups(spark, sf_dir):
 
 @query("SELECT e::INT AS epoch, count(*) AS n, count(DISTINCT doc_id // 64) AS batches FROM documents, generate_series(1, 3) t(e) WHERE doc_id % 4 = 1 GROUP BY 1")
 def s05_document_epochs(spark, sf_dir):
-    d = docs(spark, sf_dir).where("doc_id % 4 = 1").select("doc_id")
-    return O.epochs(d, 3).groupBy("epoch").agg(F.count("*").alias("n"), F.countDistinct(F.expr("doc_id div 64")).alias("batches"))
+    d = O.epochs(docs(spark, sf_dir).select("doc_id"), 3, "doc_id", 1, 4)
+    return d.groupBy("epoch").agg(F.count("*").alias("n"), F.countDistinct(F.expr("doc_id div 64")).alias("batches"))
+
+
+@query("SELECT doc_id % 4 AS rank, e::INT AS epoch, count(*) AS n, count(DISTINCT doc_id // 64) AS batches FROM documents, generate_series(1, 3) t(e) GROUP BY 1, 2")
+def s05_document_epochs_all(spark, sf_dir):
+    d = O.epochs(docs(spark, sf_dir).select("doc_id"), 3, "doc_id", world=4)
+    return d.groupBy("rank", "epoch").agg(F.count("*").alias("n"), F.countDistinct(F.expr("doc_id div 64")).alias("batches"))
 
 
 @query("SELECT count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE doc_id // 128 > 2 OR (doc_id // 128 = 2 AND (doc_id // 16) % 8 > 3)")
@@ -176,10 +182,12 @@ def u01_mixture_repeats(spark, sf_dir):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY sha1('42:' || doc_id), doc_id) - 1 AS place FROM documents WHERE doc_id < 500")
 def t12_shuffled_order(spark, sf_dir):
-    from pyspark.sql import Window as W
+    return O.shuffled_places(docs(spark, sf_dir).where("doc_id < 500").select("doc_id"), "doc_id", 42)
+
 
-    d = O.hashed_order(docs(spark, sf_dir).where("doc_id < 500").select("doc_id"), "doc_id", 42)
-    return d.select("doc_id", (F.row_number().over(W.orderBy("shuffle_key", "doc_id")) - 1).cast("long").alias("place"))
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha1('42:' || doc_id), doc_id) - 1 AS place FROM documents")
+def t12_shuffled_order_all(spark, sf_dir):
+    return O.shuffled_places(docs(spark, sf_dir).select("doc_id"), "doc_id", 42)
 
 
 @query()

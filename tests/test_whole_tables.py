@@ -2,13 +2,17 @@
 
 import hashlib
 import os
+import random
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from cairnwork import catalog
+from cairnwork.functions import text as X
 from cairnwork.operators import ordered as O
+from cairnwork.operators import tokenizer as T
 
 DATA = "/root/testdata/sf0.01"
 
@@ -39,3 +43,37 @@ def test_epochs_of_every_rank(spark):
     d = spark.range(10)
     assert {(r["id"], r["rank"], r["epoch"]) for r in O.epochs(d, 2, "id", world=3).collect()} == {(i, i % 3, e) for i in range(10) for e in (1, 2)}
     assert sorted(r["id"] for r in O.epochs(d, 1, "id", 2, 3).collect()) == [2, 5, 8]
+
+
+def plain_train(counts, n):
+    """Merges one at a time, each from counts taken anew."""
+    words, merges = {t: [bytes([b]) for b in t.encode()] for t in counts}, []
+    while len(merges) < n:
+        pairs = Counter()
+        for t, w in words.items():
+            for p in zip(w, w[1:], strict=False):
+                pairs[p] += counts[t]
+        if not pairs:
+            break
+        merges.append(max(pairs, key=lambda p: (pairs[p], p)))
+        words = {t: T.apply_merges(w, merges[-1:]) for t, w in words.items()}
+    return merges
+
+
+def test_merges_one_at_a_time(spark):
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("aab") for _ in range(r.randint(1, 9))) for _ in range(30)) for _ in range(20)] + ["aaaa aaa", "café ☃☃☃ 12 12", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = {x["t"]: x["n"] for x in docs.select(F.explode(X.pretokens(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    want = plain_train(counts, 40)
+    for pending in (T.PENDING, 3):
+        assert T.train(docs, 256 + 9 + 40, pending=pending) == want
+    few = spark.createDataFrame([("ab ab",)], "text string")
+    assert T.train(few, 320) == plain_train({"ab": 1, " ab": 1}, 55)
+
+
+def test_rare_words_count(spark):
+    """520,000 words of one use outweigh the frequent ones only if none is left out."""
+    rare = spark.range(520_000).select(F.concat(F.lit("q"), F.translate(F.lpad(F.conv(F.col("id").cast("string"), 10, 16), 5, "0"), "0123456789ABCDEF", "cdefghijklmnoprs")).alias("text"))
+    often = spark.range(510_000).select(F.lit("zv").alias("text"))
+    assert T.train(rare.select(F.concat("text", F.lit("qx")).alias("text")).union(often), 256 + 9 + 1) == [(b"q", b"x")]

@@ -28,19 +28,32 @@ def q14_packing_metrics(spark, sf_dir):
     return P.metrics(q12_best_fit_crop(spark, sf_dir), 2049)
 
 
-@query("SELECT octet_length(encode(text)) AS n_bytes, doc_id, true AS same FROM documents WHERE doc_id % 2 = 0")
-def q04_q05_q08_round_trip(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "text")
+def _round_trip(d):
     merges = T.train(d, 400)
     e = d.withColumn("ids", T.encode_column(merges, F.col("text")))
     return e.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), (T.decode_column(merges, F.col("ids")) == F.col("text")).alias("same"))
 
 
+@query("SELECT octet_length(encode(text)) AS n_bytes, doc_id, true AS same FROM documents WHERE doc_id % 2 = 0")
+def q04_q05_q08_round_trip(spark, sf_dir):
+    return _round_trip(_lengths(spark, sf_dir).where("doc_id % 2 = 0"))
+
+
+@query("SELECT octet_length(encode(text)) AS n_bytes, doc_id, true AS same FROM documents")
+def q04_q05_q08_round_trip_all(spark, sf_dir):
+    return _round_trip(_lengths(spark, sf_dir))
+
+
 @query("SELECT k::INT AS token_id, CASE WHEN k < 256 THEN 1 ELSE 0 END AS n_bytes FROM generate_series(0, 264) t(k)")
 def q06_q07_token_bytes(spark, sf_dir):
     return T.token_bytes(spark, [])
 
 
+@query()
+def q06_q07_token_bytes_all(spark, sf_dir):
+    return T.token_bytes(spark, T.train(_lengths(spark, sf_dir), 400))
+
+
 @query()
 def q02_bpe_merges(spark, sf_dir):
     merges = T.train(_lengths(spark, sf_dir), 320)

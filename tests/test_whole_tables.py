@@ -26,7 +26,7 @@ def sql(name):
     return con.execute(catalog.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["t12_shuffled_order_all", "s05_document_epochs_all"])
+@pytest.mark.parametrize("name", ["t12_shuffled_order_all", "s05_document_epochs_all", "q04_q05_q08_round_trip_all"])
 def test_all_rows(spark, name):
     want = sql(name)
     cols = [c[0] for c in want.description]
@@ -77,3 +77,12 @@ def test_rare_words_count(spark):
     rare = spark.range(520_000).select(F.concat(F.lit("q"), F.translate(F.lpad(F.conv(F.col("id").cast("string"), 10, 16), 5, "0"), "0123456789ABCDEF", "cdefghijklmnoprs")).alias("text"))
     often = spark.range(510_000).select(F.lit("zv").alias("text"))
     assert T.train(rare.select(F.concat("text", F.lit("qx")).alias("text")).union(often), 256 + 9 + 1) == [(b"q", b"x")]
+
+
+def test_token_bytes_of_the_corpus(spark):
+    small = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    counts = {x["t"]: x["n"] for x in d.select(F.explode(X.pretokens(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    sizes = [1] * 256 + [len(a + b) for a, b in plain_train(counts, 135)] + [0] * 9
+    got = catalog.queries()["q06_q07_token_bytes_all"](spark, small).collect()
+    assert sorted(map(tuple, got)) == list(enumerate(sizes)) and max(sizes) > 1

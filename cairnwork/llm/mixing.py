@@ -18,6 +18,8 @@ SHARE = 1.5
 MOST = 2
 #: Slots of the schedule: a bound of the schedule's own, whatever the input's size; blocks grow with the input instead.
 SLOTS = 1 << 17
+#: Sources whose target is below so many blocks get as many words as their target asks, whatever the schedule dealt them.
+FEW_BLOCKS = 64
 SEED = 20
 #: Pieces of a source for ranks and running sums, so that no source is one task's.
 PIECES = 512
@@ -81,6 +83,27 @@ def schedule(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
     return ranked.select("slot", "source", (F.col("start_") + F.col("local_")).alias("rank"), "block_words")
 
 
+def settled(slot_rows: DataFrame, goals: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """slot_rows with source_size and stop_words_, where the source's words end: no source is lost between the points.
+
+    The schedule is off by a few blocks a source, which is all of a source below a block. Sources whose target is below
+    FEW_BLOCKS blocks end at their target, rounded, with one word at least; blocks that the schedule didn't deal
+    them follow as slots after the last one, fewer than FEW_BLOCKS a source. The others end at MOST times their size.
+    """
+    few = F.col("target") < FEW_BLOCKS * F.col("block_words")
+    words = F.when(few, F.greatest(F.lit(1), F.round("target").cast("long"))).otherwise(MOST * F.col("source_size")).cast("long")
+    g = goals.where("target > 0").select(F.col("source").alias("g_"), "source_size", words.alias("stop_words_"), few.alias("few_"), F.col("block_words").alias("w_"))
+    dealt = slot_rows.groupBy(F.col("source").alias("d_")).agg(F.count("*").alias("n_"))
+    need = g.where("few_").join(dealt, F.col("g_").eqNullSafe(F.col("d_")), "left").withColumn("n_", F.coalesce("n_", F.lit(0)))
+    need = need.withColumn("end_", F.ceil(F.col("stop_words_") / F.col("w_")).cast("long")).where("n_ < end_")
+    up = W.orderBy(F.col("g_").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)  # a row a source
+    need = need.withColumn("first_", slots + F.coalesce(F.sum(F.col("end_") - F.col("n_")).over(up), F.lit(0)))
+    more = need.withColumn("rank", F.explode(F.expr("sequence(n_, end_ - 1)")))
+    more = more.select((F.col("first_") + F.col("rank") - F.col("n_")).alias("slot"), F.col("g_").alias("source"), "rank", F.col("w_").alias("block_words"), "source_size", "stop_words_")
+    own = slot_rows.join(g.drop("few_", "w_"), F.col("source").eqNullSafe(F.col("g_"))).drop("g_")
+    return own.unionByName(more)
+
+
 def _laid_out(docs: DataFrame, size: Column, slots: int, seed: int, id_col: str, source_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(documents with their place in their source's shuffled words, schedule), the latter cut to the shared folder."""
     key = F.sha1(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
@@ -95,17 +118,17 @@ def _laid_out(docs: DataFrame, size: Column, slots: int, seed: int, id_col: str,
     inside = W.partitionBy("source", "piece_").orderBy("key_", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = d.withColumn("at_", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(places, F.col("source").eqNullSafe(F.col("s_")) & (F.col("piece_") == F.col("q_"))).withColumn("at_", F.col("at_") + F.col("start_"))
-    return placed.drop("s_", "q_", "start_", "key_", "piece_"), cut(schedule(goals, slots).join(goals.select(F.col("source").alias("g_"), "source_size"), F.col("source").eqNullSafe(F.col("g_"))).drop("g_"))
+    return placed.drop("s_", "q_", "start_", "key_", "piece_"), cut(settled(cut(schedule(goals, slots)), goals, slots))
 
 
 def _taken(placed: DataFrame, slot_rows: DataFrame) -> DataFrame:
     """(uid_, slot, pass, from_word, words): the part of each document that each slot takes.
 
-    A slot's block is cut at the end of a pass over its source and at the stop of most passes; blocks and documents
+    A slot's block is cut at the end of a pass over its source and at stop_words_, where the source's words end; blocks and documents
     meet in an equi-join on the stretch of block_words words, of which a row on either side covers as many as it
     touches. Rows out: documents plus slots at most, for both lie side by side.
     """
-    b = slot_rows.withColumn("start_", F.col("rank") * F.col("block_words")).withColumn("end_", F.least(F.col("start_") + F.col("block_words"), MOST * F.col("source_size")))
+    b = slot_rows.withColumn("start_", F.col("rank") * F.col("block_words")).withColumn("end_", F.least(F.col("start_") + F.col("block_words"), "stop_words_"))
     passes = F.sequence(F.expr("start_ div source_size"), F.expr("(end_ - 1) div source_size"))
     b = b.where("start_ < end_").withColumn("pass", F.explode(passes))
     b = b.select("slot", F.col("source").alias("s_"), "pass", F.greatest(F.lit(0), F.col("start_") - F.col("pass") * F.col("source_size")).alias("a_"), F.least("source_size", F.col("end_") - F.col("pass") * F.col("source_size")).alias("b_"), "block_words")
@@ -122,7 +145,8 @@ def mix(docs: DataFrame, size: Column | None = None, slots: int = SLOTS, seed: i
 
     size: a column of token counts, by default the number of words. A source's documents are shuffled by a hash of
     their id and laid end to end; slot r of the source takes words [r b, (r + 1) b) of them, again from the start
-    after the end. What passes MOST times the source's size is cut off, so a document is taken twice at most.
+    after the end. What passes MOST times the source's size is cut off, so a document is taken twice at most. Sources
+    below FEW_BLOCKS blocks get exactly the words of their target; the SQL has the schedule alone and agrees without such sources.
     copies: passes that take its first word. row_: the columns named in carry, unread otherwise.
     Null text counts 0, null ids and null sources are values like others, repeated rows are rows of their own, and
     those that agree in everything are exchangeable. A source without words has target 0; an empty table gives none.

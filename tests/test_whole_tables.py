@@ -86,3 +86,16 @@ def test_token_bytes_of_the_corpus(spark):
     sizes = [1] * 256 + [len(a + b) for a, b in plain_train(counts, 135)] + [0] * 9
     got = catalog.queries()["q06_q07_token_bytes_all"](spark, small).collect()
     assert sorted(map(tuple, got)) == list(enumerate(sizes)) and max(sizes) > 1
+
+
+def test_small_sources_meet_their_target(spark):
+    """One large source and 60 far below a block: each is taken as its target asks."""
+    from cairnwork.llm import mixing
+
+    rows = [(i, "w " * 5000, "big") for i in range(40)] + [(100 + i, "w " * (1 + i), f"s{i:02d}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(d, slots=256).groupBy("doc_id", "target").agg(F.sum("taken").alias("taken")).where("doc_id >= 100").collect()
+    assert len(out) == 60 and all(r["taken"] == max(1, round(r["target"])) for r in out)
+    parts = mixing.mixture(d, slots=256)
+    assert parts.where("source <> 'big'").select("source").distinct().count() == 60
+    assert parts.groupBy("slot").agg(F.countDistinct("source").alias("n")).where("n > 1").count() == 0

@@ -20,8 +20,11 @@ ROW = "row_number_of_this_stage"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row: its file split and place there, the same whenever the files are read."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """docs with a number for each row, written once and read back: file splits depend on the cores of the moment."""
+    spark = docs.sparkSession
+    path = f"{checkpoint_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _counted(marks: DataFrame, how: str, docs: DataFrame) -> DataFrame:

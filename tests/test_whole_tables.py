@@ -99,3 +99,21 @@ def test_small_sources_meet_their_target(spark):
     parts = mixing.mixture(d, slots=256)
     assert parts.where("source <> 'big'").select("source").distinct().count() == 60
     assert parts.groupBy("slot").agg(F.countDistinct("source").alias("n")).where("n > 1").count() == 0
+
+
+def test_row_numbers_outlast_other_splits(spark, tmp_path):
+    """The same rows have the same numbers when file splits change between two jobs."""
+    import corpus_pipeline
+
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.sha1(F.col("id").cast("string").cast("binary")), 20).alias("text")).repartition(6).write.parquet(str(tmp_path / "d"))
+    rows = corpus_pipeline._numbered(spark.read.parquet(str(tmp_path / "d")))
+    seen = []
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "64k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            seen.append({r["doc_id"]: r[corpus_pipeline.ROW] for r in rows.select("doc_id", corpus_pipeline.ROW).alias(size).collect()})
+            rows = rows.select("*")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert len(set(seen[0].values())) == 4000 and seen[0] == seen[1]

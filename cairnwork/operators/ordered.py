@@ -117,3 +117,22 @@ def few_shot(items: DataFrame, idx: str, k: int, seed: int = 1234, stretch: int
     h = F.sha1(F.concat((F.lit(seed) + F.col("idx")).cast("string"), F.lit(":"), F.col("shot").cast("string")).cast("binary"))
     pairs = left.join(right, "piece_").where("idx <> shot").withColumn("h", h)
     return pairs.withColumn("place", F.row_number().over(W.partitionBy("idx").orderBy("h", "shot"))).where(F.col("place") <= k).select("idx", "shot", "place")
+
+
+def few_shot_all(items: DataFrame, idx: str, k: int, seed: int = 1234) -> DataFrame:
+    """(idx, shot, place): k other rows for each row from the whole table, without replacement; fewer only if there aren't k.
+
+    Row number r of n draws a seeded number below n - 1, n - 2, ... and steps over itself and the rows drawn before, so
+    all choices are equally likely. Shots meet their ids in an equi-join on row numbers; nothing is crossed.
+    """
+    ranked = global_rank(items.select(F.col(idx).alias("idx")), ["idx"])
+    n = ranked.agg(F.count("*").alias("n_"))
+    d = ranked.crossJoin(F.broadcast(n)).where("n_ > 1")  # one row
+
+    def draw(used: Column, j: Column) -> Column:
+        x = F.pmod(F.xxhash64(F.lit(seed) + F.col("idx"), F.col("rank_"), j), F.col("n_") - 1 - j)
+        return F.concat(used, F.array(F.aggregate(F.array_sort(used), x, lambda at, u: F.when(at >= u, at + 1).otherwise(at))))
+
+    draws = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(F.lit(k).cast("long"), F.col("n_") - 1) - 1), F.array("rank_"), draw)
+    d = d.select("idx", F.posexplode(draws).alias("place", "shot_rank_")).where("place > 0")
+    return d.join(ranked.select(F.col("idx").alias("shot"), "rank_"), F.col("shot_rank_") == F.col("rank_")).select("idx", "shot", "place")

@@ -173,6 +173,11 @@ def j05_u07_few_shot(spark, sf_dir):
     return O.few_shot(docs(spark, sf_dir), "doc_id", 3).select("idx", "shot", F.col("place").cast("long"))
 
 
+@query()
+def j05_u07_few_shot_all(spark, sf_dir):
+    return O.few_shot_all(docs(spark, sf_dir), "doc_id", 3).select("idx", "shot", F.col("place").cast("long"))
+
+
 @query("SELECT t AS task_idx, count(*) AS n, count(DISTINCT id) AS distinct_rows FROM (SELECT 0 AS t, doc_id AS id FROM documents, generate_series(1, 1) UNION ALL SELECT 1, item_id FROM benchmark, generate_series(1, 6)) GROUP BY 1")
 def u01_mixture_repeats(spark, sf_dir):
     one = lambda n, c: read(spark, sf_dir, n).select(F.col(c).alias("local_idx"), "text")

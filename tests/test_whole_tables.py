@@ -117,3 +117,18 @@ def test_row_numbers_outlast_other_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", most)
     assert len(set(seen[0].values())) == 4000 and seen[0] == seen[1]
+
+
+def test_few_shot_from_all_rows(spark):
+    ids = [64 * i for i in range(300)]
+    d = spark.createDataFrame([(i,) for i in ids], "i long").repartition(4)
+    per = {}
+    for r in O.few_shot_all(d, "i", 3).collect():
+        per.setdefault(r["idx"], {})[r["place"]] = r["shot"]
+    assert set(per) == set(ids)
+    assert all(set(p) == {1, 2, 3} and len(set(p.values())) == 3 and i not in p.values() and set(p.values()) <= set(ids) for i, p in per.items())
+    assert max(abs(i - s) for i, p in per.items() for s in p.values()) > 64 * 150
+    assert {(r["idx"], r["shot"]) for r in O.few_shot_all(d.where("i < 192"), "i", 3).collect()} == {(a, b) for a in ids[:3] for b in ids[:3] if a != b}
+    assert O.few_shot_all(d.where("i = 0"), "i", 3).collect() == [] == O.few_shot_all(d.limit(0), "i", 3).collect()
+    out = catalog.queries()["j05_u07_few_shot_all"](spark, DATA)
+    assert out.count() == 3000 and out.where("idx div 64 <> shot div 64").count() > 0

@@ -107,6 +107,18 @@ def mixture(tasks: list[tuple[DataFrame, int]], seed: int = 42) -> DataFrame:
     return out.withColumn("shuffle_key", F.sha1(payload.cast("binary")))
 
 
+def sequence(tables: list[tuple[DataFrame, str]]) -> DataFrame:
+    """Rows (task, idx) of whole tables one after the other: a table's ids start after the greatest one of those before."""
+    out = None
+    for t, (df, idx) in enumerate(tables):
+        one = df.select(F.lit(t).alias("task"), F.col(idx).cast("long").alias("idx"))
+        if out is not None:
+            start = out.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("start_"))
+            one = one.crossJoin(F.broadcast(start)).select("task", (F.col("idx") + F.col("start_")).alias("idx"))  # one row
+        out = one if out is None else out.union(one)
+    return out
+
+
 def few_shot(items: DataFrame, idx: str, k: int, seed: int = 1234, stretch: int = 64) -> DataFrame:
     """k other rows for each row, without replacement: those with the least hashes among the row's stretch of ids.
 

@@ -40,6 +40,11 @@ def u02_sequence(spark, sf_dir):
     return a.union(read(spark, sf_dir, "benchmark").select(F.lit(1), F.col("item_id") + 100))
 
 
+@query("SELECT 0 AS task, doc_id AS idx FROM documents UNION ALL SELECT 1, (SELECT coalesce(max(doc_id) + 1, 0) FROM documents) + item_id FROM benchmark")
+def u02_sequence_all(spark, sf_dir):
+    return O.sequence([(read(spark, sf_dir, "documents"), "doc_id"), (read(spark, sf_dir, "benchmark"), "item_id")])
+
+
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha1('1337:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 10")
 def t11_seeded_limit(spark, sf_dir):
     d = O.hashed_order(read(spark, sf_dir, "documents").select("source", "doc_id"), "doc_id", 1337)

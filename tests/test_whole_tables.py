@@ -26,7 +26,7 @@ def sql(name):
     return con.execute(catalog.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["t12_shuffled_order_all", "s05_document_epochs_all", "q04_q05_q08_round_trip_all"])
+@pytest.mark.parametrize("name", ["t12_shuffled_order_all", "s05_document_epochs_all", "q04_q05_q08_round_trip_all", "u02_sequence_all"])
 def test_all_rows(spark, name):
     want = sql(name)
     cols = [c[0] for c in want.description]
@@ -132,3 +132,10 @@ def test_few_shot_from_all_rows(spark):
     assert O.few_shot_all(d.where("i = 0"), "i", 3).collect() == [] == O.few_shot_all(d.limit(0), "i", 3).collect()
     out = catalog.queries()["j05_u07_few_shot_all"](spark, DATA)
     assert out.count() == 3000 and out.where("idx div 64 <> shot div 64").count() > 0
+
+
+def test_sequence_starts_after_the_last_id(spark):
+    a, b = spark.range(250), spark.range(5)
+    got = [tuple(r) for r in O.sequence([(a, "id"), (b, "id"), (b, "id")]).orderBy("idx").collect()]
+    assert got == [(0, i) for i in range(250)] + [(1, 250 + i) for i in range(5)] + [(2, 255 + i) for i in range(5)]
+    assert sorted(tuple(r) for r in O.sequence([(a.limit(0), "id"), (b, "id")]).collect()) == [(1, i) for i in range(5)]

@@ -8,10 +8,12 @@ verified exactly, and a pair counts in the first block that admits it, so the un
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,14 +133,19 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _solved(batches: Iterator[pa.RecordBatch], space: Subspaces, step: int = 2048) -> Iterator[pa.RecordBatch]:
-    """(id, links, root) from rows (block, cell..., chunk pair, side, id, copies, vector) sorted by task.
+def spaces(cosine: float, blocks: int) -> Callable[[int], Subspaces]:
+    """The subspaces of each width, made once in a task."""
+    return functools.cache(lambda width: Subspaces(width, cosine, blocks))
+
+
+def _solved(batches: Iterator[pa.RecordBatch], space_of: Callable[[int], Subspaces], step: int = 2048) -> Iterator[pa.RecordBatch]:
+    """(id, links, root) from rows (width, block, cell..., chunk pair, side, id, copies, vector) sorted by task.
 
     Side 0 are a cell's own rows, side 1 rows sent on to it; tasks are (own chunk, own chunk) or (own chunk, sent chunk).
     """
 
     def solve(key: tuple, rows: list[tuple]) -> pa.RecordBatch | None:
-        b, kind, first, second = key[0], key[-3], key[-2], key[-1]
+        space, b, kind, first, second = space_of(key[0]), key[1], key[-3], key[-2], key[-1]
         side = np.array([r[0] for r in rows])
         order = np.argsort(side, kind="stable")
         ids, copies = (np.array([rows[k][c] for k in order], np.int64) for c in (1, 2))
@@ -168,7 +175,7 @@ def _solved(batches: Iterator[pa.RecordBatch], space: Subspaces, step: int = 204
     for batch in batches:
         cols = [batch.column(k).to_pylist() for k in range(batch.num_columns - 1)]
         vectors = batch.column(batch.num_columns - 1)
-        flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) if len(batch) else None
+        flat = np.split(vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(vectors).to_numpy())[:-1]) if len(batch) else None
         for k in range(len(batch)):
             own = tuple(c[k] for c in cols[:-3])
             if own != key:
@@ -202,13 +209,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
     # One row a distinct vector; its number stands for it from here on.
     nodes = keyed.where("ok_").groupBy("key_", "v_").agg(F.count("*").alias("copies_"), F.min("vec_id").alias("least_"))
     nodes = cut(nodes.withColumn("node_", F.monotonically_increasing_id()))
-    widths = [r[0] for r in nodes.select(F.size("v_").alias("w_")).distinct().orderBy("w_").limit(1000).collect()]
-    found = None
-    for width in widths:
-        part = _joined(nodes.where(F.size("v_") == width), Subspaces(width, cosine, blocks), chunk)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = _joined(nodes, cosine, blocks, chunk)
     found = cut(found)
     links = found.groupBy(F.col("id").alias("l_")).agg(F.sum("links").alias("links_"))
     roots = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
@@ -221,25 +222,33 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _joined(nodes: DataFrame, space: Subspaces, chunk: int) -> DataFrame:
-    """(id, links, root): links of each node as far as each task has found them, and a node its links lead to."""
+def _joined(nodes: DataFrame, cosine: float, blocks: int, chunk: int) -> DataFrame:
+    """(id, links, root): links of each node as far as each task has found them, and a node its links lead to.
+
+    The width is part of a cell's key, so one plan joins vectors of however many widths.
+    """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space_of = spaces(cosine, blocks)
         for batch in batches:
             if not len(batch):
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-            y = space.unit(x)
-            for b in range(len(space.parts)):
-                rows, cells, home = space.cells(y, b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), b, np.int32)), pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(home), batch.column(0).take(pa.array(rows))], ["b", "c0", "c1", "home", "node_"])
-
-    spots = bounded_batches(nodes.select("node_", "v_"), 4000).mapInArrow(place, "b int, c0 long, c1 long, home boolean, node_ long")
+            widths = pc.list_value_length(batch.column(1)).to_numpy()
+            for width in map(int, np.unique(widths)):
+                of = batch.take(pa.array(np.flatnonzero(widths == width)))
+                space = space_of(width)
+                y = space.unit(of.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(of), width))
+                for b in range(len(space.parts)):
+                    rows, cells, home = space.cells(y, b)
+                    cols = [pa.array(np.full(len(rows), width, np.int32)), pa.array(np.full(len(rows), b, np.int32)), pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(home), of.column(0).take(pa.array(rows))]
+                    yield pa.RecordBatch.from_arrays(cols, ["w", "b", "c0", "c1", "home", "node_"])
+
+    spots = bounded_batches(nodes.select("node_", "v_"), 4000).mapInArrow(place, "w int, b int, c0 long, c1 long, home boolean, node_ long")
     # Rows of each cell, own and sent on, decide its chunks; one row a cell.
-    cells = spots.groupBy("b", "c0", "c1").agg(F.sum(F.col("home").cast("long")).alias("own_"), F.sum((~F.col("home")).cast("long")).alias("sent_"))
+    cells = spots.groupBy("w", "b", "c0", "c1").agg(F.sum(F.col("home").cast("long")).alias("own_"), F.sum((~F.col("home")).cast("long")).alias("sent_"))
     pieces = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / chunk)).cast("int")
-    cells = cells.where("own_ > 0 AND own_ + sent_ > 1").select("b", "c0", "c1", pieces("own_").alias("ko"), pieces("sent_").alias("ks"), (F.col("sent_") > 0).alias("some"))
-    s = spots.join(cells, ["b", "c0", "c1"])
+    cells = cells.where("own_ > 0 AND own_ + sent_ > 1").select("w", "b", "c0", "c1", pieces("own_").alias("ko"), pieces("sent_").alias("ks"), (F.col("sent_") > 0).alias("some"))
+    s = spots.join(cells, ["w", "b", "c0", "c1"])
     mine = F.pmod(F.xxhash64("node_"), F.when(F.col("home"), F.col("ko")).otherwise(F.col("ks"))).cast("int")
     s = s.withColumn("mine", mine)
     # (kind, first chunk, second chunk, side): own chunks meet own chunks from themselves on, and every chunk of sent rows.
@@ -248,11 +257,11 @@ def _joined(nodes: DataFrame, space: Subspaces, chunk: int) -> DataFrame:
     out = F.when(F.col("some"), F.transform(F.sequence(F.lit(0), F.col("ks") - 1), lambda j: spot(1, F.col("mine"), j, F.lit(0)))).otherwise(F.slice(own, 1, 0))
     sent = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda i: spot(1, i, F.col("mine"), F.lit(1)))
     s = s.withColumn("t", F.explode(F.when(F.col("home"), F.concat(own, out)).otherwise(sent)))
-    s = s.select("b", "c0", "c1", "t.kind", "t.i", "t.j", "t.side", "node_")
+    s = s.select("w", "b", "c0", "c1", "t.kind", "t.i", "t.j", "t.side", "node_")
     s = s.join(nodes.select("node_", "copies_", F.col("v_")), "node_")
-    task = ["b", "c0", "c1", "kind", "i", "j"]
+    task = ["w", "b", "c0", "c1", "kind", "i", "j"]
     s = s.select(*task, "side", "node_", "copies_", "v_").repartition(*task).sortWithinPartitions(*task)
-    return s.mapInArrow(lambda batches: _solved(batches, space), "id long, links long, root long")
+    return s.mapInArrow(lambda batches: _solved(batches, spaces(cosine, blocks)), "id long, links long, root long")
 
 
 def oracle_sql(cosine: float = COSINE) -> str:

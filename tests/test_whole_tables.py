@@ -139,3 +139,12 @@ def test_sequence_starts_after_the_last_id(spark):
     got = [tuple(r) for r in O.sequence([(a, "id"), (b, "id"), (b, "id")]).orderBy("idx").collect()]
     assert got == [(0, i) for i in range(250)] + [(1, 250 + i) for i in range(5)] + [(2, 255 + i) for i in range(5)]
     assert sorted(tuple(r) for r in O.sequence([(a.limit(0), "id"), (b, "id")]).collect()) == [(1, i) for i in range(5)]
+
+
+def test_near_vectors_of_many_widths(spark):
+    """Two near vectors of each of 1,200 widths: every pair links."""
+    from cairnwork.llm import embeddings
+
+    rows = [(2 * w + k, [1.0] * w + [1.0 + 0.01 * k]) for w in range(1200) for k in (0, 1)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(i, 1, i - i % 2) for i, _ in rows}

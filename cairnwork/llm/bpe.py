@@ -67,7 +67,7 @@ class ByteBPE:
     """A tokenizer file of the `tokenizers` library of kind byte-level BPE, read for encoding only."""
 
     def __init__(self, path: str, native: bool = False) -> None:
-        """native: new chunks are merged by a compiled encoder over the same ranks, not by merge()."""
+        """native: whole texts go through a compiled encoder over the same ranks, not through merge()."""
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -140,10 +140,6 @@ class ByteBPE:
 
         before: what stands before each chunk, the space or nothing. A chunk of letters is one token as it is.
         """
-        if self.compiled:
-            encode = self.compiled
-            known.update((c, array("I", encode(before + c)).tobytes()) for c in chunks)
-            return
         pieces: list[bytes] = []
         ends = [0]
         find = self.rule.findall
@@ -158,17 +154,28 @@ class ByteBPE:
         at = (starts[np.array(ends)] * 4).tolist()
         known.update((c, raw[a:b]) for c, a, b in zip(chunks, at, at[1:], strict=False))
 
+    def _parts(self, text: str) -> list[str]:
+        """The text cut at special strings, which stay as parts of their own."""
+        return self.at_special.split(text) if self.at_special and any(s in text for s in self.special) else [text]
+
+    def _whole(self, text: str) -> bytes:
+        """The ids of one text by the compiled encoder."""
+        encode, special = self.compiled, self.special
+        return b"".join(special[p].to_bytes(4, "little") if p in special else array("I", encode(p)).tobytes() for p in self._parts(text) if p)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit numbers, special strings as their own ids.
 
         A text is cut at plain spaces between non-spaces, where the rule always begins a token with the space. If
         the text has runs of white space, cuts are made only where no other white space is near.
         """
+        if self.compiled:
+            return [self._whole(t or "") for t in texts]
         cut: list[list[tuple[int, str, list[str]]]] = []  # special id or -1, first chunk, chunks after a space
         firsts, afters = set(), set()
         for t in texts:
             t, rows = t or "", []
-            for p in self.at_special.split(t) if self.at_special and any(s in t for s in self.special) else [t]:
+            for p in self._parts(t):
                 if p in self.special:
                     rows.append((self.special[p], "", []))
                 elif p:

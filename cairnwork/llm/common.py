@@ -30,19 +30,38 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def connected_components(edges: DataFrame, most: int = 100) -> DataFrame:
+#: A key with more than one in so many of all rows is hot; there are fewer hot keys than this.
+HOT = 10_000
+
+
+def hot_join(rows: DataFrame, marks: DataFrame, keys: list[str], n_col: str) -> DataFrame:
+    """rows joined by keys with marks, which has one row a key and in n_col how many rows have it; n_col is dropped.
+
+    Rows of hot keys stay where they are and get their marks by a broadcast of fewer than HOT rows; the others are
+    shuffled, so no task gets more than one in HOT of the rows by a single key. marks is read twice: cut it before.
+    """
+    total = marks.agg(F.sum(n_col)).first()[0] or 0
+    hot = marks.where(F.col(n_col) * HOT > total)
+    few = hot.limit(HOT).count()
+    if not few:
+        return rows.join(marks.drop(n_col), keys)
+    if few == marks.limit(HOT).count():  # all keys are
+        return rows.join(F.broadcast(marks.drop(n_col)), keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(marks.where(F.col(n_col) * HOT <= total).drop(n_col), keys)
+    return rows.join(F.broadcast(hot.drop(n_col)), keys).unionByName(cold)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the smallest node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each is an aggregation with
     partial sums and a join that adaptive execution splits where a node is hot, and the edges are cut
-    to the shared folder after each pair of steps. Nothing is collected but two numbers a round.
-    Empty edges give an empty table.
+    to the shared folder after each pair of steps, until a round changes nothing: the rounds grow with the logarithm
+    of the longest way. Nothing is collected but two numbers a round. Empty edges give an empty table.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    for _ in range(most):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

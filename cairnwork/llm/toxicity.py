@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cnn import held_out, labelled_sample, scored
+from .cnn import Sample, held_out, labelled_sample, scored
 
 #: Labelled rows of each class that are learned from: the bound on what the driver gets.
 TRAIN_ROWS = 3000
@@ -85,16 +85,16 @@ class Lexicon:
 class Trees:
     """Boosted regression trees on the logistic loss, over features cut into at most BINS steps."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
         self.edges = [np.unique(np.quantile(c[c > 0], np.linspace(0, 1, BINS)) if (c > 0).any() else np.zeros(1)) for c in x.T]
         b = self._bins(x)
-        rate = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
+        rate = min(max(float(np.average(y, weights=weight)) if len(y) else 0.5, 1e-3), 1 - 1e-3)
         self.base, self.trees = float(np.log(rate / (1 - rate))), []
         f = np.full(len(y), self.base)
         self.least = max(2, min(LEAVES, int(min(y.sum(), len(y) - y.sum())) // 8))
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-f))
-            tree, leaf = self._grow(b, y - p, p * (1 - p))
+            tree, leaf = self._grow(b, weight * (y - p), weight * p * (1 - p))
             self.trees.append(tree)
             f += leaf
         return self
@@ -136,12 +136,12 @@ class Trees:
         return out
 
 
-def isotonic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(margins, rising rates) by pooling adjacent violators; each pool is smoothed by a row of both classes."""
+def isotonic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(margins, rising rates) by pooling adjacent violators; each pool is smoothed by a row of weight one, half of each class."""
     order = np.argsort(m, kind="stable")
     pools: list[list[float]] = []
-    for a, b in zip(m[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([b, 1, a, a])
+    for a, b, w in zip(m[order].tolist(), (y * weight)[order].tolist(), weight[order].tolist(), strict=True):
+        pools.append([b, w, a, a])
         while len(pools) > 1 and (pools[-2][3] == pools[-1][2] or pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]):
             s, n, _, hi = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2], hi]
@@ -151,8 +151,14 @@ def isotonic(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Toxicity:
-    def __init__(self, rows: list[tuple[str, int]], folds: int = 4) -> None:
-        """Features of each fold of the rows come from a lexicon of the other folds, as new texts will have them."""
+    def __init__(self, sample: Sample, folds: int = 4) -> None:
+        """Features of each fold of the rows come from a lexicon of the other folds, as new texts will have them.
+
+        Rows weigh as many rows of their class as they stand for, over the mean, so that a bound on the sample doesn't move rates.
+        """
+        rows = sample.rows
+        weight = np.array([sample.weight[v] for _, v in rows])
+        weight = weight / weight.mean() if len(rows) else weight
         x, y = np.zeros((len(rows), FEATURES)), np.array([v for _, v in rows], float)
         for k in range(folds):
             lexicon = Lexicon([r for i, r in enumerate(rows) if i % folds != k])
@@ -160,8 +166,9 @@ class Toxicity:
                 x[i] = lexicon.features(rows[i][0])
         self.lexicon = Lexicon(rows)
         part = np.arange(len(y)) // folds % 4 < 3
-        self.trees = Trees().fit(x[part], y[part])
-        self.at, self.rate = isotonic(self.trees.margin(x[~part]), y[~part])
+        self.trees = Trees().fit(x[part], y[part], weight[part])
+        rest = ~part if not part.all() else part  # a handful of rows serve both
+        self.at, self.rate = isotonic(self.trees.margin(x[rest]), y[rest], weight[rest])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         m = self.trees.margin(np.array([self.lexicon.features(t) for t in texts]).reshape(-1, FEATURES))
@@ -176,8 +183,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """One row a document: doc_id, held_out, score, predicted (1 if score >= 0.5).
 
     Only the text enters a score. Null and empty texts have all features 0. Null ids pass through, repeated rows are
-    scored each, other columns aren't read; an empty table gives an empty result. Classes are learned as often as the
-    sample has them, with at most TRAIN_ROWS of each.
+    scored each, other columns aren't read; an empty table gives an empty result. At most TRAIN_ROWS rows
+    of each class are learned from, weighed by the class's share of all labelled rows, so scores are rates of the table.
     """
     model = train(docs, labels, id_col, text_col)
     s = scored(docs, model.score, id_col=id_col, text_col=text_col)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import pyarrow as pa
@@ -41,101 +42,189 @@ UNLIKELY = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry|main|post\w*|story\w*|text|blog|page)(?:$|[\s_-])", re.I)
-_TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)|[!?/][^>]*(?:>|$))")
-_ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+# Words of class and id names that mark a paragraph, heading or inline element as no part of the article.
+UNLIKELY_PARAGRAPH = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|cookie\w*|consent|gdpr|hidden)(?:$|[\s_-])", re.I)
+PARAGRAPH = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6".split())
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_BETWEEN = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
 _SPACE = re.compile(r"\s+")
 #: Points of a paragraph: one, one for each comma, and one for each so many characters up to a limit.
 CHARS_A_POINT, MOST_LENGTH_POINTS = 100, 3
+# Kinds of elements that give their points to their parent and not to themselves.
+PROSE = frozenset("p pre td blockquote li h1 h2".split())
+#: What is left of a point at each step up the tree; ancestors get it in one pass, however many they are.
+FADE = 0.5
 #: Share of the best score that a sibling needs.
 SIBLING = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "chars", "linked", "score")
+    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "chars", "linked", "commas", "score", "inside")
 
     def __init__(self, tag: str, parent: Node | None, names: str = "", role: str = "", hidden: bool = False) -> None:
         self.tag, self.parent, self.names, self.role, self.hidden = tag, parent, names, role, hidden
         self.children: list[Node | str] = []
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.commas = 0
         self.score = 0.0
+        #: Whether it stands inside an article.
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
 
     @property
     def dropped(self) -> bool:
+        if self.tag == "header":
+            return not self.inside
         if self.tag in DROP or self.hidden or self.role in ROLES:
             return True
-        if self.tag in ("html", "body", "article", "main"):
+        if self.tag in ("html", "body", "article", "main") or not self.names:
             return False
-        if self.tag == "header":
-            return self.parent is None or not _inside(self, "article", "main")
-        return bool(self.names and UNLIKELY.search(self.names))
-
-
-def _inside(node: Node, *tags: str) -> bool:
-    while node := node.parent:
-        if node.tag in tags:
-            return True
-    return False
+        container = self.tag in BLOCK and self.tag not in PARAGRAPH
+        return bool((UNLIKELY if container else UNLIKELY_PARAGRAPH).search(self.names))
+
+
+class _Open:
+    """The open elements from the root on, with the places of each kind, so that no question walks along them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.places, self.blocks = [root], {root.tag: [0]}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, place: int) -> None:
+        """Closes the element at this place and all inside it."""
+        while len(self.nodes) > place:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags: frozenset[str]) -> int:
+        """The innermost place of these kinds, -1 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def end(self, tag: str) -> None:
+        """An end tag: closes the innermost of its kind; ends of inline elements don't reach across blocks."""
+        places = self.places.get(tag)
+        if places and places[-1] > 0 and (tag in BLOCK or self.blocks[-1] < places[-1]):
+            self.close(places[-1])
+
+
+class _Attributes:
+    """Reads what stands between a tag's name and its end, as browsers do: a quote opens a value only after `=`."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.none_left = html, set()
+
+    def read(self, at: int) -> tuple[list[tuple[str, str]], int]:
+        """(names and values, place after the tag). A quote that is never closed ends at the tag's end instead."""
+        html, out = self.html, []
+        while True:
+            at = _BETWEEN.match(html, at).end()
+            if at >= len(html):
+                return out, at
+            if html[at] == ">":
+                return out, at + 1
+            m = _ATTRIBUTE.match(html, at)
+            name, value, at = m[0].lower(), "", m.end()
+            if m := _EQUALS.match(html, at):
+                at = m.end()
+                quote = html[at : at + 1]
+                if quote in ("'", '"'):
+                    end = -1 if quote in self.none_left else html.find(quote, at + 1)
+                    if end < 0:
+                        self.none_left.add(quote)
+                        end = html.find(">", at + 1)
+                        end = len(html) if end < 0 else end
+                        value, at = html[at + 1 : end], end
+                    else:
+                        value, at = html[at + 1 : end], end + 1
+                else:
+                    m = _UNQUOTED.match(html, at)
+                    value, at = m[0], m.end()
+            out.append((name, value))
+
+
+def _element(tag: str, parent: Node, attributes: list[tuple[str, str]]) -> Node:
+    names = role = ""
+    hidden = False
+    for k, v in attributes:
+        if k in ("class", "id"):
+            names += " " + v
+        elif k == "role":
+            role = v.lower()
+        elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and "display:none" in v.replace(" ", "").lower()):
+            hidden = True
+    return Node(tag, parent, names, role, hidden)
 
 
 def parse(html: str) -> Node:
-    """The element tree of a page; what browsers forgive is forgiven: missing ends, stray ends, a cut-off page."""
-    root = here = Node("html", None)
-    at, n = 0, len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        if not m:
-            here.children.append(unescape(html[at:]))
+    """The element tree of a page; what browsers forgive is forgiven: missing ends, stray ends, a cut-off page.
+
+    One pass: each character is read a bounded number of times, however deep or broken the page is.
+    """
+    root = Node("html", None)
+    stack, attributes = _Open(root), _Attributes(html)
+    text = at = 0  # where text not yet taken begins, and where to look for the next tag
+    n, body = len(html), False
+    while True:
+        start = html.find("<", at)
+        if start < 0 or start + 1 >= n:
             break
-        if m.start() > at:
-            here.children.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[0].startswith("<!--"):
-            end = html.find("-->", m.start() + 4)
-            at = n if end < 0 else end + 3
+        plain = _PLAIN_TAG.match(html, start)
+        name = None if plain else _NAME.match(html, start + 1 + (html[start + 1] == "/"))
+        if not plain and not name and html[start + 1] not in "!?/":
+            at = start + 1  # a sign in the text
             continue
-        if not m[2]:
+        if start > text:
+            stack.nodes[-1].children.append(unescape(html[text:start]))
+        if plain:
+            ends, tag, own, at = plain[1] == "/", plain[2].lower(), [], plain.end()
+        elif name:
+            ends, tag = html[start + 1] == "/", name[0].lower()
+            own, at = attributes.read(name.end())
+        else:
+            comment = html.startswith("<!--", start)
+            end = html.find("-->", start + 2) if comment else html.find(">", start + 1)
+            text = at = n if end < 0 else end + (3 if comment else 1)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            up: Node | None = here
-            while up is not None and up.tag != tag and not (tag not in BLOCK and up.tag in BLOCK):
-                up = up.parent
-            if up is not None and up.tag == tag and up.parent is not None:
-                here = up.parent
+        text = at
+        if ends:
+            stack.end(tag)
             continue
         if tag in ("html", "body"):
-            if tag == "html":
+            if tag == "html" or body:
                 continue
-            while here.parent is not None:
-                here = here.parent
+            body = True
+            stack.close(1)
         if tag in CLOSES:
-            ends, walls = CLOSES[tag]
-            up = here
-            while up.parent is not None and up.tag not in ends and up.tag not in walls:
-                up = up.parent
-            if up.tag in ends:
-                here = up.parent
-        names = role = ""
-        hidden = False
-        if m[3].strip(" /"):
-            for a in _ATTRIBUTE.finditer(m[3]):
-                k, v = a[1].lower(), (a[2] or "").strip("\"'")
-                if k in ("class", "id"):
-                    names += " " + v
-                elif k == "role":
-                    role = v.lower()
-                elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and "display:none" in v.replace(" ", "").lower()):
-                    hidden = True
-        node = Node(tag, here, names, role, hidden)
-        here.children.append(node)
+            kinds, walls = CLOSES[tag]
+            wall = stack.last(walls)
+            while (place := stack.last(kinds)) > wall and place > 0:
+                stack.close(place)
+        node = _element(tag, stack.nodes[-1], own)
+        node.parent.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(html, at)
-            at = n if end is None else end.end()
+            end = _raw_end(tag).search(html, at)
+            text = at = n if end is None else end.end()
         elif tag not in VOID:
-            here = node
+            stack.push(node)
+    if text < n:
+        stack.nodes[-1].children.append(unescape(html[text:]))
     return root
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
+
+
 def _clean(root: Node) -> list[Node]:
     """Takes dropped subtrees away; the remaining nodes, parents before children."""
     out, todo = [], [root]
@@ -153,21 +242,21 @@ def best_container(nodes: list[Node]) -> Node:
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(_SPACE.sub(" ", c).strip())
+                node.commas += c.count(",")
             else:
                 node.chars += c.chars
+                node.commas += c.commas
                 node.linked += c.chars if c.tag == "a" else c.linked
     for node in nodes:
-        text = sum(len(c) for c in node.children if isinstance(c, str) and not c.isspace())
-        if node.tag not in ("p", "pre", "td", "blockquote", "li", "h1", "h2") and not (node.tag in BLOCK and text):
-            continue
-        if node.chars < 1:
-            continue
-        commas = sum(_flat(c).count(",") for c in node.children)
-        points = (1 + commas + min(MOST_LENGTH_POINTS, node.chars / CHARS_A_POINT)) * (1 - node.linked / max(1, node.chars))
-        up, level = node.parent if node.tag not in BLOCK or node.tag in ("p", "pre", "td", "blockquote", "li", "h1", "h2") else node, 0
-        while up is not None:
-            up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
+        prose = node.tag in PROSE
+        if node.chars and (prose or (node.tag in BLOCK and any(isinstance(c, str) and not c.isspace() for c in node.children))):
+            points = (1 + node.commas + min(MOST_LENGTH_POINTS, node.chars / CHARS_A_POINT)) * (1 - node.linked / node.chars)
+            up = node.parent if prose else node
+            if up is not None:
+                up.score += points
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.score += FADE * node.score
     best, most = nodes[0], -1.0
     for node in nodes:
         if not node.score or node.tag not in BLOCK and node.tag not in ("html", "body", "main", "article"):

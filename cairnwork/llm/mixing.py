@@ -32,7 +32,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     Sources in code point order, null last, take the weights in turn. The mix has share times all words. A target
     stops at most times the source's size and the excess goes to the rest by weight: with the sources in order of
     most * size / weight, the first k are at their stop, for the least k at which the level for the rest is below the
-    next one's stop. The windows run over one row a source.
+    next one's stop. The windows run over one row a source, in one task.
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
@@ -70,9 +70,12 @@ def schedule(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
     g = g.select("source", "from_", "to_", "block_words", "sum_")
     point = (F.col("id") + 0.5) * GOLDEN
     k = spark.range(0, slots, 1, 8).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("point_"))
-    # The slots are a fixed number and the sources are few; the range join has the sources' side checked by Spark.
-    taken = k.join(g, (F.col("point_") >= F.col("from_")) & (F.col("point_") < F.col("to_")))
-    taken = taken.where(F.col("slot") < F.ceil(F.col("sum_") / F.col("block_words"))).drop("point_", "from_", "to_", "sum_")
+    # Points and stretches meet by buckets of the cumulative share: sources plus slots rows at most, however many sources there are.
+    bucket = lambda c: F.least(F.lit(slots - 1), F.floor(F.col(c) * slots)).cast("long")
+    k = k.withColumn("k_", bucket("point_"))
+    g = g.withColumn("g_", F.explode(F.sequence(bucket("from_"), bucket("to_"))))
+    taken = k.join(g, (F.col("k_") == F.col("g_")) & (F.col("point_") >= F.col("from_")) & (F.col("point_") < F.col("to_")))
+    taken = taken.where(F.col("slot") < F.ceil(F.col("sum_") / F.col("block_words"))).drop("point_", "from_", "to_", "sum_", "k_", "g_")
     taken = taken.withColumn("piece_", F.expr(f"slot div {max(1, slots // PIECES)}"))
     counts = taken.groupBy("source", "piece_").agg(F.count("*").alias("n_"))
     before = W.partitionBy("source").orderBy("piece_").rowsBetween(W.unboundedPreceding, -1)
@@ -146,7 +149,7 @@ def mix(docs: DataFrame, size: Column | None = None, slots: int = SLOTS, seed: i
     size: a column of token counts, by default the number of words. A source's documents are shuffled by a hash of
     their id and laid end to end; slot r of the source takes words [r b, (r + 1) b) of them, again from the start
     after the end. What passes MOST times the source's size is cut off, so a document is taken twice at most. Sources
-    below FEW_BLOCKS blocks get exactly the words of their target; the SQL has the schedule alone and agrees without such sources.
+    below FEW_BLOCKS blocks get exactly the words of their target, rounded, one at least.
     copies: passes that take its first word. row_: the columns named in carry, unread otherwise.
     Null text counts 0, null ids and null sources are values like others, repeated rows are rows of their own, and
     those that agree in everything are exchangeable. A source without words has target 0; an empty table gives none.
@@ -182,6 +185,6 @@ def oracle_sql(slots: int = SLOTS, seed: int = SEED) -> str:
     b AS (SELECT *, greatest(1, ceil(total / {slots}))::BIGINT AS block, coalesce(lag(upto) OVER (ORDER BY source NULLS LAST), 0.0) AS lo, CASE WHEN last THEN 2.0 ELSE upto END AS hi FROM h),
     n AS (SELECT source, least(count(*) * any_value(block), {MOST} * any_value(source_size))::BIGINT AS words FROM b, (SELECT k, (k + 0.5) * {GOLDEN}::DOUBLE - floor((k + 0.5) * {GOLDEN}::DOUBLE) AS u FROM range({slots}) t(k)) p
         WHERE u >= lo AND u < hi AND k < ceil(total / block) GROUP BY 1),
-    q AS (SELECT d.*, g.source_size, g.target, coalesce(n.words, 0) AS words, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+    q AS (SELECT d.*, g.source_size, g.target, CASE WHEN g.target > 0 AND g.target < {FEW_BLOCKS} * (SELECT max(block) FROM b) THEN greatest(1, round(g.target))::BIGINT ELSE coalesce(n.words, 0) END AS words, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
         FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN n ON d.source IS NOT DISTINCT FROM n.source)
     SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(pos + size, words % source_size) - pos) END::BIGINT AS taken FROM q"""

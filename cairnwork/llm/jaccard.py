@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, connected_components, cut, text_slices, tidy
+from .common import bounded_batches, connected_components, cut, hot_join, text_slices, tidy
 
 SHINGLE = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
@@ -511,18 +511,17 @@ def _across(full: DataFrame, roots: DataFrame, group_bytes: int, solve) -> DataF
 
 def _with_components(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Components by the smallest id, from those of fingerprints. Nodes without shingles stay alone."""
-    own = F.when(F.col("n_shingles") > 0, F.col("fp"))
-    least = nodes.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least_"))
+    full = nodes.where("n_shingles > 0")
+    least = full.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_"))
     if roots is not None:
-        least = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_", F.coalesce("component", "fp").alias("root_"))
+        roots = roots.select(F.col("node").alias("fp"), F.col("component").alias("root_"))
         least = cut(least)
-        by_root = least.groupBy("root_").agg(F.min("least_").alias("component_id"))
-        least = least.join(by_root, "root_").select("fp", "component_id")
-    else:
-        least = least.select("fp", F.col("least_").alias("component_id"))
-    least = cut(least.withColumnRenamed("fp", "f_"))
-    out = nodes.join(least, own == F.col("f_"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        tied = cut(least.join(roots, "fp").select("fp", F.col("component_id").alias("least_"), "root_"))
+        by_root = cut(tied.groupBy("root_").agg(F.min("least_").alias("of_root"), F.count("*").alias("m_")))
+        tied = hot_join(tied, by_root, ["root_"], "m_").select("fp", "of_root")
+        least = least.join(tied, "fp", "left").select("fp", F.when(F.col("of_root").isNotNull(), F.col("of_root")).otherwise(F.col("component_id")).alias("component_id"), "n_")
+    out = hot_join(full, cut(least), ["fp"], "n_").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.unionByName(nodes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def oracle_sql(num: int = NUM, den: int = DEN, k: int = SHINGLE) -> str:

@@ -73,9 +73,31 @@ def test_sharding(docs):
 
 
 def test_curve_steps_by_one_cell():
-    at = {h: c for c, h in enumerate(sharding.curve(3))}
-    cells = [np.array([at[h] >> 6, at[h] >> 3 & 7, at[h] & 7]) for h in range(512)]
-    assert all(abs(a - b).sum() == 1 for a, b in zip(cells, cells[1:], strict=False))
+    """Every cell of a grid of 8 by 8 by 8 once, each beside the one before."""
+    table, at = sharding.steps(), {}
+    for c in np.ndindex(8, 8, 8):
+        state = h = 0
+        for bit in (2, 1, 0):
+            step = table[8 * state + sum((v >> bit & 1) << j for j, v in enumerate(c))]
+            h, state = 8 * h + step // 24, step % 24
+        at[h] = np.array(c)
+    assert sorted(at) == list(range(512))
+    assert all(abs(at[h] - at[h + 1]).sum() == 1 for h in range(511))
+
+
+def test_shards_touched_by_a_filter(spark):
+    """Each language and source lies in few of 24 shards, with a null row or without, and whatever the names begin with."""
+    r = np.random.default_rng(3)
+    langs, sources = ["common-prefix-" + x for x in ("de", "en", "es", "fr")], [f"common-prefix-{k}" for k in range(20)]
+    rows_ = [(i, "w" * int(r.integers(1, 4000)), str(r.choice(langs, p=[0.13, 0.62, 0.15, 0.1])), str(r.choice(sources))) for i in range(3000)]
+    for more in ([], [(3000, None, None, None)]):
+        d = spark.createDataFrame(rows_ + more, "doc_id long, text string, lang string, source string")
+        out = sharding.hilbert_shards(d).select("doc_id", "shard").join(d, "doc_id")
+        by_lang = {x["lang"]: x["n"] for x in out.groupBy("lang").agg(F.countDistinct("shard").alias("n")).collect()}
+        by_source = {x["source"]: x["n"] for x in out.groupBy("source").agg(F.countDistinct("shard").alias("n")).collect()}
+        assert by_lang["common-prefix-fr"] <= 9 and by_lang["common-prefix-de"] <= 11
+        assert max(n for s, n in by_source.items() if s) <= 14
+        assert by_lang.get(None, 1) == 1
 
 
 def test_mixing_by_laying_words_out(spark):

@@ -40,3 +40,40 @@ def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_stages_by_plain_versions(spark):
+    """Each stage's decision, taken again from its operator's scores, components and counts, on odd rows and clashing names."""
+    from cairnwork.llm import cnn, mixing, toxicity
+    from cairnwork.llm.common import table
+
+    base = spark.read.parquet(f"{DATA}/documents.parquet").limit(250)
+    odd = base.limit(1).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "n_chars")
+    docs = base.union(base.limit(5)).union(odd).selectExpr("*", "1 AS score_of_stage", "2 AS row_of_stage", "3 AS copy_of_stage", "4 AS copies_of_stage", "5 AS component_id").cache()
+    rows = docs.toPandas()
+    labels = table(spark, DATA, "labels")
+    quality, toxic, near, mix, pack = (f for _, f in corpus_pipeline.STAGES)
+    key = lambda d: sorted(zip(d.doc_id.fillna(-1), d.text.fillna("")))
+    for stage, keep in ((quality, cnn.train(docs, labels).score(list(rows.text.where(rows.text.notna(), None))) >= 0.5), (toxic, toxicity.train(docs, labels).score(list(rows.text.where(rows.text.notna(), None))) < 0.5)):
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and key(out.toPandas()) == key(rows[keep])
+    out = near(spark, docs, DATA).toPandas()
+    c = jaccard.jaccard_components(docs).toPandas()
+    assert sorted(out.doc_id.dropna()) == sorted(c.component_id.dropna().unique()) and out.doc_id.isna().sum() == 1
+    out = mix(spark, docs, DATA)
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).where("n > 0").toPandas()
+    again = out.groupBy("doc_id").count().toPandas()
+    assert out.columns == docs.columns and dict(zip(copies.doc_id, copies.n)) == dict(zip(again.doc_id, again["count"]))
+    assert pack(spark, docs, DATA).where("start = 0").count() == len(rows)
+
+
+def test_run_leaves_one_folder(spark):
+    from cairnwork.llm.common import checkpoint_folder
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_folder(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = {str(f.getPath()) for f in fs.listStatus(path)}
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    new = [f.getPath() for f in fs.listStatus(path) if str(f.getPath()) not in before and "rdd-" not in f.getPath().getName()]
+    assert len(new) == 1 and [f.getPath().getName() for f in fs.listStatus(new[0])] == ["3"]

@@ -107,6 +107,14 @@ def teacher_answer(c: Column, rules: str = "v3") -> Column:
     return let(strip_markup(c), of)
 
 
+def clean_solution(c: Column) -> Column:
+    """A solution without the marks around thoughts and solutions, normalised before and after."""
+    out = normalize_text(c)
+    for mark in V.MARKUP[:4]:
+        out = F.replace(out, F.lit(mark), F.lit(""))
+    return normalize_text(out)
+
+
 def after_thought(c: Column) -> Column:
     """What follows the first end of a thought, or all."""
     mark = "<|end_of_thought|>"
@@ -118,8 +126,8 @@ def category(c: Column, table, other: str) -> Column:
     return let(F.lower(c), lambda x: F.coalesce(*[F.when(has_any(x, words), name) for name, words in table], F.lit(other)))
 
 
-def classify_thoughts(c: Column) -> Column:
-    return category(normalize_text(c), V.THOUGHT_CATEGORIES, "general-reasoning")
+def classify_thoughts(c: Column, rules: str = "v3") -> Column:
+    return category(normalize_text(c), V.THOUGHT_CATEGORIES_V2 if rules == "v2" else V.THOUGHT_CATEGORIES, "general-reasoning")
 
 
 def classify_prompt(c: Column) -> Column:
@@ -138,20 +146,21 @@ def classify_anchor(c: Column) -> Column:
 
 
 def valid_pair(user: Column, assistant: Column, rules: str = "v3") -> Column:
-    """Whether a pair meets a rule set. v3 normalises both sides (again) first."""
-    limits = V.PAIR_LIMITS[rules]
+    """Whether a pair meets a rule set. v1, v2 and v3 normalise both sides (again) first; a null side fails."""
+    limits, distilled = V.PAIR_LIMITS[rules], rules.startswith("distilled")
+    banned = {"v1": V.BANNED_V1, "v2": V.CODE_V2, "v3": V.CODE_V3}.get(rules, V.CODE_DISTILLED)
 
     def of(s: Column) -> Column:
         u, a = s["u"], s["a"]
         ok = F.length(u).between(*limits["user"]) & F.length(a).between(*limits["assistant"])
         if "words" in limits:
             ok = ok & (word_count(a) <= limits["words"]) & (count_of(a, "\n") <= limits["newlines"])
-        ok = ok & ~has_any(F.lower(u), V.CODE_DISTILLED if rules == "distilled" else V.CODE_V3)
-        if rules == "distilled":
+        ok = ok & ~has_any(F.lower(u), banned)
+        if distilled:
             ok = ok & ~has_any(F.lower(u), V.MULTIPLE_CHOICE) & ~has_any(F.lower(a), V.THINKING_ALOUD) & ~strip(F.lower(a)).rlike(r"^(answer:\s*)?[a-d][.]?$")
         return ok
 
-    u, a = (normalize_user_prompt(user), teacher_answer(assistant)) if rules == "v3" else (user, assistant)
+    u, a = (user, assistant) if distilled else (normalize_user_prompt(user), teacher_answer(assistant)) if rules == "v3" else (normalize_text(user), normalize_text(assistant))
     return F.coalesce(let(F.struct(u.alias("u"), a.alias("a")), of), F.lit(False))
 
 

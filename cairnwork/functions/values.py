@@ -1,6 +1,9 @@
 """Fixed values that results depend on: word lists, patterns, quotas and tables, in their own order."""
 
+# Prompts with these are left out by the first rule set.
+BANNED_V1 = ("roleplay", "write a poem", "creative story", "fan fiction", "write a song", "sql query", "python program", "javascript", "c++", "debug this code")
 # Prompts with these are about code.
+CODE_V2 = ("python", "stdin", "stdout", "write a program", "write a function", "codeforces", "leetcode", "class solution", "compile", "javascript", "java", "c++", "cpp", "sql", "debug this code", "executable", "implement")
 CODE_V3 = ("python", "stdin", "stdout", "write a program", "write a function", "codeforces", "leetcode", "class solution", "compile", "javascript", "java", "c++", "cpp", "sql", "debug this code", "executable", "implement", "pseudocode", "shell script", "bash script", "time complexity", "space complexity")
 CODE_DISTILLED = ("python", "stdin", "stdout", "write a program", "write a function", "codeforces", "leetcode", "class solution", "compile", "javascript", "java", "c++", "cpp", "sql", "debug this code", "implement", "time complexity", "space complexity")
 
@@ -15,6 +18,10 @@ MATH = ("prove", "triangle", "polynomial", "equation", "inequality", "integral",
 LOGIC = ("if all", "if some", "must be true", "cannot be true", "conclusion follows", "logical consequence", "syllogism", "deduce")
 DATA_WORDS = ("table", "chart", "average", "median", "mean", "trend", "dataset", "graph")
 SUM_WORDS = ("how many", "what percent", "total", "ratio", "probability", "equation", "solve for")
+SCIENCE_V2 = ("physics", "chemistry", "biology", "cell", "genetics", "molecule", "atom", "force", "energy", "thermodynamics", "electric", "magnetic", "planet", "orbit", "star", "geology")
+PUZZLE_V2 = ("logic puzzle", "riddle", "liar", "truth-teller", "knight", "arrangement", "seating", "probability", "game", "strategy", "puzzle", "combinatorics")
+MATH_V2 = ("prove", "triangle", "polynomial", "equation", "inequality", "integral", "derivative", "function", "matrix", "number theory", "geometry", "algebra", "find the maximum", "evaluate", "real numbers", "\\boxed")
+THOUGHT_CATEGORIES_V2 = (("science", SCIENCE_V2), ("puzzle", PUZZLE_V2), ("math", MATH_V2))
 THOUGHT_CATEGORIES = (("science", SCIENCE), ("puzzle", PUZZLE), ("math", MATH))
 PROMPT_CATEGORIES = (("science", SCIENCE), ("puzzle", PUZZLE), ("logic", LOGIC), ("data_analysis", DATA_WORDS), ("math", SUM_WORDS))
 
@@ -40,6 +47,7 @@ PAIR_LIMITS = {
     "v2": {"user": (40, 900), "assistant": (40, 2200)},
     "v3": {"user": (40, 700), "assistant": (50, 900), "words": 220, "newlines": 4},
     "distilled": {"user": (35, 650), "assistant": (35, 700), "words": 110, "newlines": 2},
+    "distilled2": {"user": (35, 650), "assistant": (35, 850), "words": 130, "newlines": 2},
 }
 REWARDS = {"v1": 0.14, "v2": 0.14, "v3": 0.18, "distilled": 0.24, "distilled2": 0.17}
 QUOTAS_V3 = {"math": 28, "science": 60, "puzzle": 50, "general-reasoning": 42}
@@ -50,3 +58,13 @@ SPECIAL_TOKENS = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_star
 
 # Accuracy by chance of the chat tasks.
 CHANCE = {"ARC-Easy": 0.25, "ARC-Challenge": 0.25, "MMLU": 0.25, "GSM8K": 0.0, "HumanEval": 0.0, "SpellingBee": 0.0}
+
+# BF16 operations a second of a device whose lowered name holds all the words; the first that fits counts.
+PEAK_FLOPS = (
+    (("gb200",), 2.5e15), (("grace blackwell",), 2.5e15), (("b200",), 2.25e15), (("b100",), 1.8e15),
+    (("h200", "nvl"), 836e12), (("h200", "pcie"), 836e12), (("h200",), 989e12), (("h100", "nvl"), 835e12), (("h100", "pcie"), 756e12), (("h100",), 989e12), (("h800", "nvl"), 989e12), (("h800",), 756e12),
+    (("a100",), 312e12), (("a800",), 312e12), (("a40",), 149.7e12), (("a30",), 165e12),
+    (("l40s",), 362e12), (("l40-s",), 362e12), (("l40 s",), 362e12), (("l4",), 121e12),
+    (("mi355",), 2.5e15), (("mi325",), 1.3074e15), (("mi300x",), 1.3074e15), (("mi300a",), 980.6e12), (("mi250x",), 383e12), (("mi250",), 362.1e12),
+    (("5090",), 209.5e12), (("4090",), 165.2e12), (("3090",), 71e12),
+)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import SPECIAL_TOKENS
+from .ranks import cut
 
 
 def first_pairs(turns: DataFrame) -> DataFrame:
@@ -42,10 +43,10 @@ def special_id(name: str, base: int = 256) -> int:
 
 
 def byte_ids(text: Column) -> Column:
-    """A text's bytes as ids, natively."""
-    h = F.hex(text.cast("binary"))
-    n = F.length(h) / 2
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n.cast("int"))), lambda i: F.conv(F.substr(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
+    """A text's bytes as ids, natively; a byte of a binary is found in constant time."""
+    raw = text.cast("binary")
+    n = F.octet_length(raw)
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: F.conv(F.hex(F.substr(raw, i, F.lit(1))), 16, 10).cast("int")))
 
 
 def render(messages: Column, most: int = 2048, ids=byte_ids) -> Column:
@@ -98,23 +99,30 @@ def request_problem(messages: Column, temperature: Column, top_k: Column, max_to
     return F.coalesce(*[F.when(~ok, F.lit(name)) for ok, name in checks])
 
 
-def violations(rows: DataFrame, categories: list[str], qualities: tuple[str, ...] = ("high", "medium")) -> DataFrame:
-    """(id, problem) for every rule that a curated row breaks; rows (id, source, teacher_model, category, quality, messages)."""
+def violations(rows: DataFrame, categories: list[str], qualities: tuple[str, ...] = ("high", "medium"), line: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, problem) for every rule that a curated row breaks; rows (id, source, teacher_model, category, quality, messages).
+
+    line: a column with the rows' order; of rows that share an id or a first user turn all but the first are reported, by
+    default in the order of ids, sources and contents. carry: more columns of the rows to return. Every message counts: user ones are the first, third, ...
+    """
     from ..functions import text as X
+    from ..functions.values import THINKING_ALOUD
 
-    user, last = F.element_at("messages", 1)["content"], F.element_at("messages", -1)["content"]
-    blank = lambda c: F.coalesce(X.strip(F.col(c)) == "", F.lit(True))
+    blank = lambda c: F.coalesce(X.normalize_text(F.col(c)) == "", F.lit(True))
+    side = lambda k, of: F.exists(F.transform("messages", lambda m, i: (i % 2 == k) & of(m["content"])), lambda b: b)
     checks = [
         (blank("id"), "blank id"), (blank("source"), "blank source"), (blank("teacher_model"), "blank teacher"),
         (~F.coalesce(F.col("category").isin(*categories), F.lit(False)), "category"), (~F.coalesce(F.col("quality").isin(*qualities), F.lit(False)), "quality"),
-        (~F.size("messages").between(2, 4), "turns"), (~alternates(F.col("messages"), system=False), "roles"),
-        (F.exists("messages", lambda m: X.strip(m["content"]) == ""), "empty turn"), (F.exists("messages", lambda m: m["content"].contains("```")), "fence"),
-        (X.word_count(user) > 180, "user words"), (X.word_count(last) > 220, "assistant words"),
-        (X.has_any(F.lower(last), ("let's think step by step", "step-by-step", "chain of thought")), "thinks aloud"),
+        (~F.coalesce(F.size("messages").between(2, 4), F.lit(False)), "turns"), (~alternates(F.col("messages"), system=False), "roles"),
+        (F.exists("messages", lambda m: F.coalesce(X.normalize_text(m["content"]) == "", F.lit(True))), "empty turn"), (F.exists("messages", lambda m: m["content"].contains("```")), "fence"),
+        (side(0, lambda c: X.word_count(c) > 180), "user words"), (side(1, lambda c: X.word_count(c) > 220), "assistant words"), (side(1, lambda c: X.has_any(F.lower(c), THINKING_ALOUD)), "thinks aloud"),
     ]
     found = F.filter(F.array(*[F.when(bad, F.lit(name)) for bad, name in checks]), lambda x: x.isNotNull())
-    one = rows.select("id", F.explode(found).alias("problem"))
-    twice = rows.groupBy("id").count().where("count > 1").select("id", F.lit("duplicate id").alias("problem"))
-    key = F.lower(X.normalize_text(user))
-    again = rows.select("id", key.alias("k")).groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("id", F.lit("duplicate user turn").alias("problem"))
-    return one.unionByName(twice).unionByName(again)
+    out = rows.select("id", *carry, F.explode(found).alias("problem"))
+    place = F.struct(*([line] if line else ["id", "source", F.to_json("messages")]), F.monotonically_increasing_id().alias("tie_"))
+    first_turn = F.lower(X.normalize_text(F.element_at("messages", 1)["content"]))
+    keyed = cut(rows.select("id", *carry, F.col("id").alias("by_id_"), F.xxhash64(first_turn).alias("by_turn_"), first_turn.alias("turn_"), place.alias("at_")))  # ties are broken alike below
+    for keys, problem in ((["by_id_"], "duplicate id"), (["by_turn_", "turn_"], "duplicate user turn")):
+        first = keyed.groupBy(*keys).agg(F.min("at_").alias("first_"), F.count("*").alias("n_")).where("n_ > 1").select(*keys, "first_")
+        out = out.unionByName(keyed.join(first, keys).where("at_ > first_").select("id", *carry, F.lit(problem).alias("problem")))
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import PEAK_FLOPS
+
 # Dollars an hour of one device whose name holds the word; any other costs the default.
 DEVICE_RATES = (("H100", 3.00), ("A100", 1.79), ("V100", 0.55))
 DEFAULT_RATE = 2.0
@@ -76,6 +78,22 @@ def batch_rate_scale(batch: Column, base: float) -> Column:
     return F.sqrt(batch / base)
 
 
+def peak_flops(name: Column) -> Column:
+    """BF16 operations a second of a device by its name; infinite for a name that isn't known, so utilisation shows as 0."""
+    low = F.lower(name)
+    fits = lambda words: F.forall(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+    return F.coalesce(*[F.when(fits(words), F.lit(float(rate))) for words, rate in PEAK_FLOPS], F.lit(float("inf")))
+
+
+def model_flops(parameters: Column, left_out: Column, heads: Column, width: Column, length: Column, windows: Column) -> Column:
+    """Operations a token, forward and backward: six a matrix parameter and 12 heads * width * seen length for each layer.
+
+    left_out: parameters of embeddings and scalars. windows: what each layer sees to the left, below 0 for the whole length.
+    """
+    seen = F.aggregate(windows, F.lit(0).cast("long"), lambda a, w: a + F.when(w < 0, length).otherwise(F.least(w, length)).cast("long"))
+    return 6 * (parameters - left_out) + 12 * heads * F.floor(width / heads) * seen
+
+
 def throughput(tokens: Column, milliseconds: Column) -> Column:
     return (tokens / (milliseconds / 1000)).cast("long")
 

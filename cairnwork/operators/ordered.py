@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,9 +66,35 @@ def char_budget(docs: DataFrame, idx: str = "doc_id", text: str = "text", cap: i
     return sum_before(d, idx, F.length(text), "chars_before").where(F.col("chars_before") <= most)
 
 
-def shard_numbers(docs: DataFrame, idx: str = "doc_id", text: str = "text", chars: int = 250_000_000) -> DataFrame:
-    """shard: which output shard a document goes to, by the characters before it."""
-    return sum_before(docs, idx, F.length(text), "chars_before").withColumn("shard", F.expr(f"chars_before div {chars}"))
+def shard_numbers(docs: DataFrame, idx: str = "doc_id", text: str = "text", chars: int = 250_000_000, rows_per_group: int = 1024, keep_tail: bool = False) -> DataFrame:
+    """shard: which output shard a document goes to, in the order of idx.
+
+    A shard ends after the first whole row group with which it has `chars` characters; documents after the last end are
+    left out, or go to a last shard with keep_tail. Characters are summed by row group in parallel; what one task walks
+    through, holding two numbers, is a row for every rows_per_group documents.
+    """
+    ranked = global_rank(docs.select(F.col(idx).alias("idx_"), F.length(text).cast("long").alias("used_")), ["idx_"]).withColumn("g_", F.expr(f"rank_ div {rows_per_group}"))
+    groups = ranked.groupBy("g_").agg(F.coalesce(F.sum("used_"), F.lit(0)).alias("c_"), F.count("*").alias("n_")).repartition(1).sortWithinPartitions("g_")
+
+    def walk(batches):
+        shard = held = 0
+        waiting: list[int] = []  # groups of the shard that isn't full yet; a full one has a bounded number
+        for batch in batches:
+            groups_, shards_ = [], []
+            for g, c, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                waiting.append(g)
+                held += c
+                if held >= chars and n == rows_per_group:
+                    groups_ += waiting
+                    shards_ += [shard] * len(waiting)
+                    shard, held, waiting = shard + 1, 0, []
+            yield pa.RecordBatch.from_arrays([pa.array(groups_, pa.int64()), pa.array(shards_, pa.int64())], ["s_", "shard"])
+        if keep_tail:
+            yield pa.RecordBatch.from_arrays([pa.array(waiting, pa.int64()), pa.array([shard] * len(waiting), pa.int64())], ["s_", "shard"])
+
+    of = groups.mapInArrow(walk, "s_ long, shard long")
+    of = ranked.join(of, F.col("g_") == F.col("s_")).select("idx_", "shard")
+    return docs.join(of, F.col(idx) == F.col("idx_")).drop("idx_")
 
 
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
@@ -79,10 +106,14 @@ def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
 
 
 def top_k(df: DataFrame, group: str, quotas: DataFrame | int, *order: Column) -> DataFrame:
-    """The first quota rows of each group; quotas is one number or a table (group, quota)."""
-    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    """The first quota rows of each group; quotas is one number or a table (group, quota) of few rows.
+
+    The largest quota is a literal, so each task keeps no more rows of a group than that before the shuffle.
+    """
+    most = quotas if isinstance(quotas, int) else quotas.agg(F.max("quota")).first()[0] or 0
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= most)
     if isinstance(quotas, int):
-        return ranked.where(F.col("rank") <= quotas)
+        return ranked
     return ranked.join(F.broadcast(quotas), group).where(F.col("rank") <= F.col("quota"))
 
 
@@ -119,30 +150,19 @@ def sequence(tables: list[tuple[DataFrame, str]]) -> DataFrame:
     return out
 
 
-def few_shot(items: DataFrame, idx: str, k: int, seed: int = 1234, stretch: int = 64) -> DataFrame:
-    """k other rows for each row, without replacement: those with the least hashes among the row's stretch of ids.
-
-    Candidates come from a stretch of neighbours under a seeded hash order and never from a full cross join.
-    """
-    left = items.select(F.col(idx).alias("idx")).withColumn("piece_", F.expr(f"idx div {stretch}"))
-    right = items.select(F.col(idx).alias("shot")).withColumn("piece_", F.expr(f"shot div {stretch}"))
-    h = F.sha1(F.concat((F.lit(seed) + F.col("idx")).cast("string"), F.lit(":"), F.col("shot").cast("string")).cast("binary"))
-    pairs = left.join(right, "piece_").where("idx <> shot").withColumn("h", h)
-    return pairs.withColumn("place", F.row_number().over(W.partitionBy("idx").orderBy("h", "shot"))).where(F.col("place") <= k).select("idx", "shot", "place")
-
-
-def few_shot_all(items: DataFrame, idx: str, k: int, seed: int = 1234) -> DataFrame:
+def few_shot(items: DataFrame, idx: str, k: int, seed: int = 1234) -> DataFrame:
     """(idx, shot, place): k other rows for each row from the whole table, without replacement; fewer only if there aren't k.
 
-    Row number r of n draws a seeded number below n - 1, n - 2, ... and steps over itself and the rows drawn before, so
-    all choices are equally likely. Shots meet their ids in an equi-join on row numbers; nothing is crossed.
+    Row number r of n draws a seeded number below n - 1, n - 2, ... from a hash and steps over itself and the rows drawn
+    before, so all choices are equally likely. Shots meet their ids in an equi-join on row numbers; nothing is crossed.
     """
     ranked = global_rank(items.select(F.col(idx).alias("idx")), ["idx"])
     n = ranked.agg(F.count("*").alias("n_"))
     d = ranked.crossJoin(F.broadcast(n)).where("n_ > 1")  # one row
 
     def draw(used: Column, j: Column) -> Column:
-        x = F.pmod(F.xxhash64(F.lit(seed) + F.col("idx"), F.col("rank_"), j), F.col("n_") - 1 - j)
+        h = F.sha1(F.concat_ws(":", (F.lit(seed) + F.col("idx")).cast("string"), j.cast("string")).cast("binary"))
+        x = F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("long"), F.col("n_") - 1 - j)
         return F.concat(used, F.array(F.aggregate(F.array_sort(used), x, lambda at, u: F.when(at >= u, at + 1).otherwise(at))))
 
     draws = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(F.lit(k).cast("long"), F.col("n_") - 1) - 1), F.array("rank_"), draw)

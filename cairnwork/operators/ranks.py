@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints: spark.checkpoint.dir wins; only a session without it (a local test) gets a local one."""
+    """The folder of checkpoints: spark.checkpoint.dir wins; a session without it gets a local one if its master is local."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/cairnwork-{os.getuid()}")
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or f"file://{tempfile.gettempdir()}/cairnwork-{os.getuid()}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -36,6 +36,12 @@ def pass_at(outcomes: Column, k: Column) -> Column:
     return F.exists(F.slice(outcomes, 1, k), lambda b: b)
 
 
+def first_non_null(df: DataFrame, group: str, order: str) -> DataFrame:
+    """For each group the first value that isn't null of every other column, in the order of one of them; null if all are."""
+    rest = [c for c in df.columns if c not in (group, order)]
+    return df.groupBy(group).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rest])
+
+
 def quadratic_vertex(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """(group, a, b, c, vertex) of the least-squares parabola of each group, by centred power sums and Cramer's rule.
 

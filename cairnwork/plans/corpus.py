@@ -35,14 +35,8 @@ def s03_strided_row_groups(spark, sf_dir):
     return O.row_groups(docs(spark, sf_dir), "doc_id", 128, 1, 3).groupBy("rg_idx").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT e::INT AS epoch, count(*) AS n, count(DISTINCT doc_id // 64) AS batches FROM documents, generate_series(1, 3) t(e) WHERE doc_id % 4 = 1 GROUP BY 1")
-def s05_document_epochs(spark, sf_dir):
-    d = O.epochs(docs(spark, sf_dir).select("doc_id"), 3, "doc_id", 1, 4)
-    return d.groupBy("epoch").agg(F.count("*").alias("n"), F.countDistinct(F.expr("doc_id div 64")).alias("batches"))
-
-
 @query("SELECT doc_id % 4 AS rank, e::INT AS epoch, count(*) AS n, count(DISTINCT doc_id // 64) AS batches FROM documents, generate_series(1, 3) t(e) GROUP BY 1, 2")
-def s05_document_epochs_all(spark, sf_dir):
+def s05_document_epochs(spark, sf_dir):
     d = O.epochs(docs(spark, sf_dir).select("doc_id"), 3, "doc_id", world=4)
     return d.groupBy("rank", "epoch").agg(F.count("*").alias("n"), F.countDistinct(F.expr("doc_id div 64")).alias("batches"))
 
@@ -63,9 +57,11 @@ def f02_w02_char_budget(spark, sf_dir):
     return O.char_budget(docs(spark, sf_dir).select("doc_id", "text"), most=1_000_000).select("doc_id", F.col("used").cast("long"), "chars_before")
 
 
-@query("SELECT doc_id, chars_before // 250000 AS shard FROM (SELECT doc_id, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chars_before FROM documents)")
+@query("""WITH RECURSIVE p AS (SELECT doc_id, length(text) AS c, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS g FROM documents), q AS (SELECT g, sum(c)::BIGINT AS c, count(*) AS n FROM p GROUP BY 1),
+    r AS (SELECT g, n, c AS held, 0::BIGINT AS shard FROM q WHERE g = 0 UNION ALL SELECT q.g, q.n, q.c + CASE WHEN r.held >= 250000 AND r.n = 16 THEN 0 ELSE r.held END, r.shard + CASE WHEN r.held >= 250000 AND r.n = 16 THEN 1 ELSE 0 END FROM r JOIN q ON q.g = r.g + 1)
+    SELECT doc_id, shard FROM p JOIN r USING (g) WHERE shard < (SELECT count(*) FROM r WHERE held >= 250000 AND n = 16)""")
 def k01_rolling_shards(spark, sf_dir):
-    return O.shard_numbers(docs(spark, sf_dir).select("doc_id", "text"), chars=250_000).select("doc_id", "shard")
+    return O.shard_numbers(docs(spark, sf_dir).select("doc_id", "text"), chars=250_000, rows_per_group=16).select("doc_id", "shard")
 
 
 @query(f"SELECT doc_id, md5({_norm('text')}) AS digest FROM documents")
@@ -83,6 +79,11 @@ def x09_classify_thoughts(spark, sf_dir):
     return docs(spark, sf_dir).groupBy(X.classify_thoughts(F.col("text")).alias("category")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT category, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN {_any('t', w)} THEN '{c}'" for c, w in V.THOUGHT_CATEGORIES_V2) + f" ELSE 'general-reasoning' END AS category FROM (SELECT lower({_norm('text')}) AS t FROM documents)) GROUP BY 1")
+def x09_classify_thoughts_v2(spark, sf_dir):
+    return docs(spark, sf_dir).groupBy(X.classify_thoughts(F.col("text"), "v2").alias("category")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT category, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN {_any('t', w)} THEN '{c}'" for c, w in V.PROMPT_CATEGORIES) + f" ELSE 'grounded_qa' END AS category FROM (SELECT lower({_norm('text')}) AS t FROM documents)) GROUP BY 1")
 def x10_classify_prompt(spark, sf_dir):
     return docs(spark, sf_dir).groupBy(X.classify_prompt(F.col("text")).alias("category")).agg(F.count("*").alias("n"))
@@ -168,14 +169,15 @@ def j08_k06_anti_join(spark, sf_dir):
     return d.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT idx, shot, place FROM (SELECT a.doc_id AS idx, b.doc_id AS shot, row_number() OVER (PARTITION BY a.doc_id ORDER BY sha1((1234 + a.doc_id) || ':' || b.doc_id), b.doc_id) AS place FROM documents a JOIN documents b ON a.doc_id // 64 = b.doc_id // 64 AND a.doc_id <> b.doc_id) WHERE place <= 3")
-def j05_u07_few_shot(spark, sf_dir):
-    return O.few_shot(docs(spark, sf_dir), "doc_id", 3).select("idx", "shot", F.col("place").cast("long"))
+_draw = lambda j: f"(('0x' || sha1((1234 + idx) || ':{j}')[1:15])::BIGINT % (n - {1 + j}))"
 
 
-@query()
-def j05_u07_few_shot_all(spark, sf_dir):
-    return O.few_shot_all(docs(spark, sf_dir), "doc_id", 3).select("idx", "shot", F.col("place").cast("long"))
+@query(f"""WITH r AS (SELECT doc_id AS idx, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents),
+    a AS (SELECT *, {_draw(0)} + ({_draw(0)} >= k)::INT AS a FROM r), s AS (SELECT *, least(k, a) AS lo, greatest(k, a) AS hi, {_draw(1)} + ({_draw(1)} >= least(k, a))::INT AS t FROM a), b AS (SELECT *, t + (t >= hi)::INT AS b FROM s),
+    q AS (SELECT *, list_sort([k, a, b]) AS l, {_draw(2)} + ({_draw(2)} >= list_sort([k, a, b])[1])::INT AS u FROM b), v AS (SELECT *, u + (u >= l[2])::INT AS w FROM q), c AS (SELECT *, w + (w >= l[3])::INT AS c FROM v)
+    SELECT c.idx, r.idx AS shot, place FROM (SELECT idx, unnest([a, b, c]) AS shot_k, unnest([1, 2, 3])::BIGINT AS place FROM c) c JOIN r ON r.k = shot_k""")
+def j05_u07_few_shot(spark, sf_dir):
+    return O.few_shot(docs(spark, sf_dir), "doc_id", 3).select("idx", "shot", F.col("place").cast("long"))
 
 
 @query("SELECT t AS task_idx, count(*) AS n, count(DISTINCT id) AS distinct_rows FROM (SELECT 0 AS t, doc_id AS id FROM documents, generate_series(1, 1) UNION ALL SELECT 1, item_id FROM benchmark, generate_series(1, 6)) GROUP BY 1")
@@ -185,13 +187,8 @@ def u01_mixture_repeats(spark, sf_dir):
     return m.groupBy("task_idx").agg(F.count("*").alias("n"), F.countDistinct("local_idx").alias("distinct_rows"))
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY sha1('42:' || doc_id), doc_id) - 1 AS place FROM documents WHERE doc_id < 500")
-def t12_shuffled_order(spark, sf_dir):
-    return O.shuffled_places(docs(spark, sf_dir).where("doc_id < 500").select("doc_id"), "doc_id", 42)
-
-
 @query("SELECT doc_id, row_number() OVER (ORDER BY sha1('42:' || doc_id), doc_id) - 1 AS place FROM documents")
-def t12_shuffled_order_all(spark, sf_dir):
+def t12_shuffled_order(spark, sf_dir):
     return O.shuffled_places(docs(spark, sf_dir).select("doc_id"), "doc_id", 42)
 
 

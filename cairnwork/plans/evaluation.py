@@ -9,7 +9,7 @@ from ..functions.values import CHANCE
 from ..functions import sequences as Q
 from ..operators import decisions as D
 from ..operators import statistics as S
-from .registry import query, read
+from .registry import ORACLE, query, read
 
 _OUT = "(SELECT event_type AS task, event_id AS idx, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value > 100 END AS ok FROM events)"
 
@@ -35,9 +35,9 @@ def a05_j01_centered(spark, sf_dir):
     return a.select("task", "accuracy", S.centered(F.col("accuracy"), F.col("b")).alias("centered"))
 
 
-@query(f"SELECT avg(accuracy) AS core, count(*) AS tasks FROM {_ACC}")
+@query("WITH c AS (" + ORACLE["a05_j01_centered"] + ") SELECT avg(centered) AS core, count(*) AS tasks FROM c")
 def a06_composite(spark, sf_dir):
-    return outcomes(spark, sf_dir).groupBy("task").agg(*S.accuracy(F.col("ok"))).agg(F.avg("accuracy").alias("core"), F.count("*").alias("tasks"))
+    return a05_j01_centered(spark, sf_dir).agg(F.avg("centered").alias("core"), F.count("*").alias("tasks"))
 
 
 _CHAT = ", ".join(f"('{t}', {b})" for t, b in CHANCE.items())
@@ -82,9 +82,10 @@ def a13_w09_advantage(spark, sf_dir):
     return e.join(m, "user_id").select("event_id", (F.col("value") - F.col("m")).alias("advantage"))
 
 
-@query("SELECT event_type, min_by(value, event_id) AS first_value, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1".replace("min_by", "arg_min"))
+@query("SELECT event_type, " + ", ".join(f"arg_min({c}, event_id) FILTER ({c} IS NOT NULL) AS {n}" for c, n in (("CASE WHEN event_id % 3 = 0 THEN value END", "value"), ("CASE WHEN event_id % 7 = 6 THEN user_id END", "user_id"), ("CAST(NULL AS VARCHAR)", "nothing"))) + " FROM events GROUP BY 1")
 def a14_first_non_null(spark, sf_dir):
-    return read(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("event_type").agg(F.min_by("value", "event_id").alias("first_value"), F.count("*").alias("n"))
+    e = read(spark, sf_dir, "events").select("event_type", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 7 == 6, F.col("user_id")).alias("user_id"), F.lit(None).cast("string").alias("nothing"))
+    return S.first_non_null(e, "event_type", "event_id")
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
@@ -93,12 +94,12 @@ def a15_arg_min_row(spark, sf_dir):
     return i.select("l_suppkey", "m.l_orderkey", "m.l_linenumber")
 
 
-@query("""SELECT l_returnflag, round(a, 4) AS a, n FROM (SELECT l_returnflag, n, (t2 * (s2 * n - s1 * s1) - s3 * (t1 * n - s1 * t0) + s2 * (t1 * s1 - s2 * t0)) / (s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2)) AS a FROM
-    (SELECT l_returnflag, count(*) AS n, sum(u) AS s1, sum(u * u) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4, sum(y) AS t0, sum(y * u) AS t1, sum(y * u * u) AS t2 FROM (SELECT l_returnflag, l_extendedprice AS y, l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag) AS u FROM lineitem) GROUP BY 1))""")
+@query("""SELECT l_returnflag, round(a, 4) AS a, round(CASE WHEN a > 0 THEN m - b / (2 * a) ELSE least_x END, 4) AS vertex, n FROM (SELECT *, (s4 * (t1 * n - s1 * t0) - t2 * (s3 * n - s1 * s2) + s2 * (s3 * t0 - t1 * s2)) / (s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2)) AS b FROM (SELECT l_returnflag, n, m, least_x, s1, s2, s3, s4, t0, t1, t2, (t2 * (s2 * n - s1 * s1) - s3 * (t1 * n - s1 * t0) + s2 * (t1 * s1 - s2 * t0)) / (s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2)) AS a FROM
+    (SELECT l_returnflag, count(*) AS n, any_value(m) AS m, arg_min(x, {'y': y, 'x': x}) AS least_x, sum(u) AS s1, sum(u * u) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4, sum(y) AS t0, sum(y * u) AS t1, sum(y * u * u) AS t2 FROM (SELECT l_returnflag, l_extendedprice AS y, l_quantity AS x, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS m, l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag) AS u FROM lineitem) GROUP BY 1)))""")
 def a16_quadratic_fit(spark, sf_dir):
     i = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
     n = i.groupBy("l_returnflag").agg(F.count("*").alias("n"))
-    return S.quadratic_vertex(i, "l_returnflag", "l_quantity", "l_extendedprice").join(n, "l_returnflag").select("l_returnflag", F.round("a", 4).alias("a"), "n")
+    return S.quadratic_vertex(i, "l_returnflag", "l_quantity", "l_extendedprice").join(n, "l_returnflag").select("l_returnflag", F.round("a", 4).alias("a"), F.round("vertex", 4).alias("vertex"), "n")
 
 
 @query("SELECT o_orderpriority, regr_slope(ln(o_totalprice), ln(o_custkey + 1)) AS slope, regr_intercept(ln(o_totalprice), ln(o_custkey + 1)) AS intercept FROM orders WHERE o_totalprice > 0 GROUP BY 1")
@@ -161,11 +162,21 @@ def a26_stage_pivot(spark, sf_dir):
     return read(spark, sf_dir, "events").withColumn("stage", stage).groupBy(F.col("event_type").alias("metric")).pivot("stage", ["base", "sft", "rl"]).agg(F.avg("value"))
 
 
-@query("SELECT depth, 6 * (depth * 12 * (64 * depth) ** 2)::BIGINT + (12 * depth * 64 * depth * 2048)::BIGINT AS flops_per_token, (12 * depth * (64 * depth) ** 2)::BIGINT AS params FROM generate_series(4, 30) t(depth)")
+@query("""SELECT depth, params, (6 * (params - left_out) + 12 * heads * (64 * depth // heads) * (3 * (depth // 4) * 1024 + (depth - 3 * (depth // 4)) * 2048))::BIGINT AS flops_per_token FROM
+    (SELECT depth, depth // 2 AS heads, (12 * depth * (64 * depth) ** 2)::BIGINT + 2 * 65536 * 64 * depth AS params, (65536 * 64 * depth)::BIGINT + 2 * depth AS left_out FROM generate_series(4, 30) t(depth))""")
 def a27_model_flops(spark, sf_dir):
     d = F.col("depth")
-    params = 12 * d * (64 * d) * (64 * d)
-    return spark.range(4, 31).select(F.col("id").alias("depth")).select("depth", (6 * params + 12 * d * 64 * d * 2048).alias("flops_per_token"), params.alias("params"))
+    table = spark.range(4, 31).select(F.col("id").alias("depth")).withColumn("params", 12 * d * (64 * d) * (64 * d) + 2 * 65536 * 64 * d)
+    short = F.expr("3 * (depth div 4)")
+    windows = F.transform(F.sequence(F.lit(0), d.cast("int") - 1), lambda i: F.when(i < short, 1024).otherwise(-1))
+    flops = D.model_flops(F.col("params"), 65536 * 64 * d + 2 * d, F.expr("depth div 2"), 64 * d, F.lit(2048), windows)
+    return table.select("depth", "params", flops.cast("long").alias("flops_per_token"))
+
+
+@query("SELECT name, CAST(rate AS DOUBLE) AS peak FROM (VALUES ('NVIDIA H100 80GB HBM3', 989e12), ('NVIDIA H100 PCIe', 756e12), ('NVIDIA GB200', 2.5e15), ('NVIDIA B200', 2.25e15), ('NVIDIA L40S', 362e12), ('NVIDIA L4', 121e12), ('NVIDIA GeForce RTX 4090', 165.2e12), ('AMD Instinct MI300X', 1.3074e15), ('abacus', 'Infinity'::DOUBLE)) v(name, rate)")
+def x23_peak_flops(spark, sf_dir):
+    names = ["NVIDIA H100 80GB HBM3", "NVIDIA H100 PCIe", "NVIDIA GB200", "NVIDIA B200", "NVIDIA L40S", "NVIDIA L4", "NVIDIA GeForce RTX 4090", "AMD Instinct MI300X", "abacus"]
+    return spark.createDataFrame([(n,) for n in names], "name string").select("name", D.peak_flops(F.col("name")).alias("peak"))
 
 
 @query("WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, event_id FROM events), r AS (SELECT user_id, k, event_id, 0.1 * value AS s FROM o WHERE k = 0 UNION ALL SELECT o.user_id, o.k, o.event_id, 0.9 * r.s + 0.1 * o.value FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT event_id, round(s / (1 - 0.9 ** (k + 1)), 8) AS ema FROM r")
@@ -230,24 +241,26 @@ def j06_interpolation(spark, sf_dir):
     return S.interpolate(curve, o, "x", "y", "o_totalprice").select("o_orderkey", "value")
 
 
-@query("SELECT n, CASE WHEN good >= 2 THEN 'promote' WHEN n_full > 0 THEN 'hold' ELSE 'failed' END AS decision FROM (SELECT user_id AS n, count(*) FILTER (event_type = 'purchase' AND value >= 100) AS good, count(*) FILTER (event_type = 'purchase') AS n_full FROM events GROUP BY 1)")
+@query("""SELECT user_id, good, n_full AS full, CASE WHEN good >= 2 THEN 'promote' WHEN n_full > 0 THEN 'hold' ELSE 'failed' END AS decision FROM
+    (SELECT user_id, count(*) FILTER (event_type = 'purchase' AND value / 50 >= 4 AND value / 10 >= 27) AS good, count(*) FILTER (event_type = 'purchase') AS n_full FROM events GROUP BY 1)""")
 def g01_promotion(spark, sf_dir):
-    full = F.col("event_type") == "purchase"
-    g = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("n")).agg(F.count_if(full & (F.col("value") >= 100)).alias("good"), F.count_if(full).alias("n_full"))
-    return g.select("n", F.when(F.col("good") >= 2, "promote").when(F.col("n_full") > 0, "hold").otherwise("failed").alias("decision"))
+    e = read(spark, sf_dir, "events")
+    runs = e.select("user_id", F.when(F.col("event_type") == "purchase", "full_confirm").otherwise("quick").alias("status"), (F.col("value") / 50).alias("gsm8k_pass8"), (F.col("value") / 10).alias("mmlu"))
+    return D.promotion(runs, "user_id")
 
 
-@query("SELECT event_type, CASE WHEN n >= 50 AND med < 1000 AND hi < 10000 AND lo >= 0 THEN 'GO' ELSE 'NO_GO' END AS decision FROM (SELECT event_type, count(*) AS n, median(value) AS med, max(value) AS hi, min(value) AS lo FROM events GROUP BY 1)")
+@query("""SELECT event_type, list_filter([CASE WHEN n < 2000 THEN 'rows' END, CASE WHEN avg_v >= 250 THEN 'mean' END, CASE WHEN hi >= 490.005 THEN 'peak' END, CASE WHEN lo < 0.02 THEN 'floor' END, CASE WHEN bad > 0 THEN 'missing' END], lambda x: x IS NOT NULL) AS failed FROM
+    (SELECT event_type, count(*) AS n, avg(value) AS avg_v, max(value) AS hi, min(value) AS lo, count(*) FILTER (value IS NULL) AS bad FROM events GROUP BY 1)""".replace("SELECT event_type, list_filter", "SELECT event_type, CASE WHEN len(failed) = 0 THEN 'GO' ELSE 'NO_GO' END AS decision, array_to_string(failed, ',') AS failed FROM (SELECT event_type, list_filter", 1) + ")")
 def g05_stability_gate(spark, sf_dir):
-    g = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("med"), F.max("value").alias("hi"), F.min("value").alias("lo"))
-    return g.select("event_type", F.when((F.col("n") >= 50) & (F.col("med") < 1000) & (F.col("hi") < 10000) & (F.col("lo") >= 0), "GO").otherwise("NO_GO").alias("decision"))
+    g = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.count_if(F.col("value").isNull()).alias("bad"))
+    decision, failed = D.stability({"rows": F.col("n") >= 2000, "mean": F.col("mean") < 250, "peak": F.col("hi") < 490.005, "floor": F.col("lo") >= 0.02, "missing": F.col("bad") == 0})
+    return g.select("event_type", decision.alias("decision"), F.array_join(failed, ",").alias("failed"))
 
 
-@query("SELECT c_nationkey, coalesce(b, 22.5) AS control, best, best >= coalesce(b, 22.5) + 100 AS go FROM (SELECT c_nationkey, max(c_acctbal) AS best, max(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS b FROM customer GROUP BY 1)")
+@query("SELECT c_nationkey, best, b AS control, best >= coalesce(b, 22.5) + 100 AS go FROM (SELECT c_nationkey, max(c_acctbal) AS best, max(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS b FROM customer GROUP BY 1)")
 def g13_sweep_gate(spark, sf_dir):
-    g = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("best"), F.max(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))).alias("b"))
-    control = F.coalesce("b", F.lit(22.5))
-    return g.select("c_nationkey", control.alias("control"), "best", (F.col("best") >= control + 100).alias("go"))
+    g = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("best"), F.max(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))).alias("control"))
+    return g.select("c_nationkey", "best", "control", D.sweep_gate(F.col("best"), F.col("control"), 100).alias("go"))
 
 
 @query("SELECT vec_id, list_position(m, list_min(m)) - 1 AS choice FROM (SELECT vec_id, list_transform([1, 17, 33, 49], lambda i: list_sum(list_transform(embedding[i:i + 7], lambda x: x::DOUBLE)) / 8) AS m FROM embeddings)")

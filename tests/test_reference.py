@@ -101,8 +101,23 @@ def test_violations(spark):
     rows = [("1", "s", "t", "math", "high", good), ("1", "", "t", "odd", "low", [("assistant", "```"), ("user", " ")]), ("3", "s", "t", "math", "high", [("user", "Q ONE"), ("assistant", "A")])]
     df = spark.createDataFrame(rows, "id string, source string, teacher_model string, category string, quality string, messages array<struct<role:string,content:string>>")
     found = {(r["id"], r["problem"]) for r in C.violations(df, ["math"]).collect()}
-    assert {("1", "blank source"), ("1", "category"), ("1", "quality"), ("1", "roles"), ("1", "empty turn"), ("1", "fence"), ("1", "duplicate id"), ("1", "duplicate user turn")} <= found
-    assert not any(i == "3" for i, _ in found)
+    assert {("1", "blank source"), ("1", "category"), ("1", "quality"), ("1", "roles"), ("1", "empty turn"), ("1", "fence"), ("1", "duplicate id")} <= found
+    assert {p for i, p in found if i == "3"} == {"duplicate user turn"}  # the later row is the duplicate
+
+
+def test_violations_of_every_message(spark):
+    """Each rule once, on messages beyond the first and the last; of several duplicates all but the first are reported."""
+    ok = [("user", "Q"), ("assistant", "A"), ("user", "Q"), ("assistant", "A")]
+    marks = ("let's think step by step", "let us think step by step", "step-by-step", "chain of thought", "reasoning:", "solution:")
+    rows = [(0, "a", ok), (1, "b", [*ok[:2], ("user", "w " * 181), ok[3]]), (2, "c", [ok[0], ("assistant", "w " * 221), *ok[2:]]), (3, "d", [("user", "w " * 180), ("assistant", "w " * 220)])]
+    rows += [(10 + k, f"m{k}", [("user", f"other {k}"), ("assistant", f"So, {m.upper()} it is"), ("user", m), ("assistant", "A")]) for k, m in enumerate(marks)]
+    rows += [(20, "e", [*ok, ok[0]]), (21, "f", [("user", "alone")]), (22, "g", [ok[1], ok[0]]), (23, "a", [("user", "new"), ok[1]])]
+    df = spark.createDataFrame([(i, k, "s", "t", "math", "medium", m) for i, k, m in rows], "at long, id string, source string, teacher_model string, category string, quality string, messages array<struct<role:string,content:string>>")
+    found = {}
+    for r in C.violations(df, ["math"], line="at", carry=("at",)).collect():
+        found.setdefault(r["at"], set()).add(r["problem"])
+    again = {"duplicate user turn"}
+    assert found == {1: {"user words"} | again, 2: {"assistant words"} | again, **{10 + k: {"thinks aloud"} for k in range(6)}, 20: {"turns"} | again, 21: {"turns", "roles"}, 22: {"roles"}, 23: {"duplicate id"}}
 
 
 def test_best_fit(spark):
@@ -214,7 +229,6 @@ def test_curation(spark):
     ]
     d = spark.createDataFrame(rows, "ord long, user string, assistant string")
     got = curation.curate(d, "s", curation.quota_table(spark, {"science": 5, "puzzle": 1})).orderBy("ord").collect()
-    assert [(r["ord"], r["category"]) for r in got] == [(0, "science"), (4, "puzzle")] or [(r["ord"], r["category"]) for r in got] == [(0, "science"), (5, "puzzle")]
     assert got[0]["assistant"].startswith("Answer: 4\nWhy: The sum")
     best = max((r for r in rows if r[0] in (4, 5)), key=lambda r: (max(0, 900 - len(r[2].strip())) * 10_000 + max(0, 220 - len(r[2].split())) * 1_000 + max(0, 700 - len(r[1]))))
     assert got[1]["ord"] == best[0]

@@ -16,6 +16,8 @@ from cairnwork.llm.common import checkpoint_folder, cut, hot_join, table
 
 #: Rows of (row number, count) that go to every executor; more of them meet the documents in a shuffle.
 BROADCAST_ROWS = 500_000
+#: The name of a row's number, where the documents have no column of that name.
+ROW = "row_number_of_this_stage"
 #: Folders that a stage's result still reads; run() deletes them once the result is written.
 _held: list[str] = []
 
@@ -33,7 +35,7 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _numbered(docs: DataFrame, row: str) -> DataFrame:
+def _numbered(docs: DataFrame, row: str = ROW) -> DataFrame:
     """docs with a number for each row, written once and read back: file splits depend on the cores of the moment."""
     spark = docs.sparkSession
     path = f"{checkpoint_folder(spark)}/numbered-{uuid.uuid4().hex}"
@@ -78,7 +80,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id are told apart by a number of their own: of equal rows one stays. A null id stays only in a
     component of nulls. Texts without a word, null ones too, link with nothing and all stay; an empty table stays empty.
     """
-    row = _free(docs, "row_of_stage")
+    row = _free(docs, ROW)
     rows = _numbered(docs, row)
     found = cut(jaccard.jaccard_components(rows, id_col=row).select(F.col("doc_id").alias("n_"), "component_id"))
     # Components of one row, nearly all, have nothing to drop; of the others only the roots are looked for.
@@ -96,7 +98,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null sources are a source; documents without a word, null texts too, are never taken. Repeated rows are rows of
     their own; an empty table stays empty.
     """
-    row = _free(docs, "row_of_stage")
+    row = _free(docs, ROW)
     rows = _numbered(docs, row)
     taken = mixing.mix(rows, carry=(row,)).where("copies > 0").select(F.col(f"row_.{row}").alias(row), F.expr("sequence(1, cast(copies as int))").alias(_free(docs, "copies_of_stage")))
     taken = cut(taken)

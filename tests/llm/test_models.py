@@ -49,7 +49,7 @@ def test_stages_by_plain_versions(spark):
 
     base = spark.read.parquet(f"{DATA}/documents.parquet").limit(250)
     odd = base.limit(1).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text", "CAST(NULL AS STRING) AS lang", "CAST(NULL AS STRING) AS source", "n_chars")
-    docs = base.union(base.limit(5)).union(odd).selectExpr("*", "1 AS score_of_stage", "2 AS row_of_stage", "3 AS copy_of_stage", "4 AS copies_of_stage", "5 AS component_id").cache()
+    docs = base.union(base.limit(5)).union(odd).selectExpr("*", "1 AS score_of_stage", "2 AS row_number_of_this_stage", "3 AS copy_of_stage", "4 AS copies_of_stage", "5 AS component_id").cache()
     rows = docs.toPandas()
     labels = table(spark, DATA, "labels")
     quality, toxic, near, mix, pack = (f for _, f in corpus_pipeline.STAGES)

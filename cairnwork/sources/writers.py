@@ -13,9 +13,21 @@ def shards(df: DataFrame, path: str, shard: str = "shard", rows: int = 1_000_000
     df.repartition(shard).sortWithinPartitions(shard).write.option("compression", "zstd").option("maxRecordsPerFile", rows).partitionBy(shard).mode("overwrite").parquet(path)
 
 
-def message_lines(df: DataFrame, path: str, messages: str = "messages") -> None:
-    """One array of messages a line, as JSON in raw UTF-8."""
-    df.select(F.to_json(messages)).write.mode("overwrite").text(path)
+def ascii_json(json: Column) -> Column:
+    """JSON text with every character beyond ASCII as \\u escapes, two of them beyond the basic plane."""
+
+    def escaped(c: Column) -> Column:
+        h = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        pair = F.concat(F.lit("\\u"), F.substring(h, 1, 4))
+        return F.when(c.rlike(r"^[\x00-\x7f]$"), c).when(F.length(h) == 8, F.concat(pair, F.lit("\\u"), F.substring(h, 5, 4))).otherwise(pair)
+
+    return F.when(json.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.regexp_extract_all(json, F.lit("(?s)."), F.lit(0)), escaped), "")).otherwise(json)
+
+
+def message_lines(df: DataFrame, path: str, messages: str = "messages", ascii_only: bool = True) -> None:
+    """One array of messages a line, as JSON in ASCII with escapes, or in raw UTF-8."""
+    line = F.to_json(messages)
+    df.select((ascii_json(line) if ascii_only else line).alias("value")).write.mode("overwrite").text(path)
 
 
 def manifest(df: DataFrame, path: str, seed: int, counts: list[str]) -> None:

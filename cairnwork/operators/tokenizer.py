@@ -151,22 +151,24 @@ class Tokenizer:
         return self.own.decode(ids)
 
 
-def encode_column(merges: list[tuple[bytes, bytes]], text: Column, prepend: str | None = None, append: str | None = None) -> Column:
-    @F.pandas_udf("array<int>")
-    def run(s: pd.Series) -> pd.Series:
+def _each(kind: str, merges: list[tuple[bytes, bytes]], column: Column, work) -> Column:
+    """work(tokenizer, value) of each value that isn't null; a task makes the tokenizer once."""
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = Tokenizer(merges)
-        return s.map(lambda x: None if x is None else t.encode(x, prepend, append))
+        for s in batches:
+            yield s.map(lambda x: None if x is None else work(t, x))
 
-    return run(text)
+    return run(column)
 
 
-def decode_column(merges: list[tuple[bytes, bytes]], ids: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        t = Tokenizer(merges)
-        return s.map(lambda x: None if x is None else t.decode([int(i) for i in x]))
+def encode_column(merges: list[tuple[bytes, bytes]], text: Column, prepend: str | None = None, append: str | None = None) -> Column:
+    return _each("array<int>", merges, text, lambda t, x: t.encode(x, prepend, append))
+
 
-    return run(ids)
+def decode_column(merges: list[tuple[bytes, bytes]], ids: Column) -> Column:
+    return _each("string", merges, ids, lambda t, x: t.decode([int(i) for i in x]))
 
 
 def token_bytes(spark, merges: list[tuple[bytes, bytes]]) -> DataFrame:

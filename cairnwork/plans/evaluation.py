@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.values import CHANCE
 from ..functions import sequences as Q
 from ..operators import decisions as D
+from ..operators import ordered as O
 from ..operators import statistics as S
 from .registry import ORACLE, query, read
 
@@ -135,9 +136,10 @@ def a21_features_ranked(spark, sf_dir):
 
 @query("SELECT event_type, median(value) FILTER (r <= 100) AS head, median(value) FILTER (q <= 100) AS tail FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS q FROM events) GROUP BY 1")
 def a23_w06_head_tail_median(spark, sf_dir):
-    up, down = (W.partitionBy("event_type").orderBy(o) for o in (F.asc("event_id"), F.desc("event_id")))
-    e = read(spark, sf_dir, "events").select("event_type", "value", F.row_number().over(up).alias("r"), F.row_number().over(down).alias("q"))
-    return e.groupBy("event_type").agg(F.percentile(F.when(F.col("r") <= 100, F.col("value")), 0.5).alias("head"), F.percentile(F.when(F.col("q") <= 100, F.col("value")), 0.5).alias("tail"))
+    e = read(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    ends = [O.top_k(e, "event_type", 100, o).withColumn("end", F.lit(n)) for n, o in (("head", F.asc("event_id")), ("tail", F.desc("event_id")))]
+    middle = lambda n: F.percentile(F.when(F.col("end") == n, F.col("value")), 0.5).alias(n)
+    return ends[0].unionByName(ends[1]).groupBy("event_type").agg(middle("head"), middle("tail"))
 
 
 _WIL = "{s}((p + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) {o} 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n))"

@@ -32,6 +32,8 @@ GROUP_BYTES = 24 << 20
 #: Bits of the bitmap that tells which documents' sets are needed; when it is full, all are sent and joined.
 NEED_BITS = 24
 FANOUT = 8
+#: Of a signature's plane: twice as many bits as tokens up to two to this power.
+MOST_BITS = 17
 #: Characters of text hashed at once.
 TEXT_BYTES = 1 << 20
 
@@ -149,7 +151,7 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 def signature(s: np.ndarray) -> tuple[bytes, int]:
     """(two bit planes, tokens beyond them) of a set: bits with a token, bits with two, tokens that are third or later."""
-    bits = 1 << min(14, max(8, (2 * len(s) - 1).bit_length()))
+    bits = 1 << min(MOST_BITS, max(8, (2 * len(s) - 1).bit_length()))
     c = np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits)
     return np.packbits(c > 0).tobytes() + np.packbits(c > 1).tobytes(), int(np.maximum(c - 2, 0).sum())
 
@@ -254,6 +256,28 @@ class SignatureTree:
         return out
 
 
+def _linked(signatures: list[tuple[bytes, int]], sizes: list[int], least: list[int], labels: np.ndarray, num: int, den: int, sets: list[np.ndarray] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(pairs of places, enough to connect all that are linked; the label of each place's component).
+
+    A tree for each size of planes holds the signatures of that size and of those larger ones that a partner may have,
+    folded to it, so that short texts in a group don't blur the signatures of long ones.
+    """
+    root, out = labels.copy(), []
+    planes = np.array([len(raw) for raw, _ in signatures])
+    for size in np.unique(planes):
+        at = np.flatnonzero((planes >= size) & (num * planes < 2 * den * size))
+        if len(at) < 2:
+            continue
+        pick = lambda values: [values[i] for i in at]  # noqa: E731, B023
+        tree = SignatureTree(pick(signatures), pick(sizes), pick(least), root[at], num, den, pick(sets) if sets else None)
+        for i, j in tree.links():
+            i, j = int(at[i]), int(at[j])
+            out.append((i, j))
+            x, y = root[i], root[j]
+            root[root == max(x, y)] = min(x, y)
+    return out, root
+
+
 def _groups(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[list[tuple]]:
     """Rows' last columns, group by group, from batches sorted by the columns before."""
     key, rows = None, []
@@ -289,8 +313,8 @@ def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
             return []
         fps = list(own)
         sets = [own[f][1] for f in fps]
-        tree = SignatureTree([signature(s) for s in sets], [len(s) for s in sets], [int(s[0]) for s in sets], np.array([own[f][0] for f in fps], np.int64), num, den, sets)
-        return [(fps[i], fps[j]) for i, j in tree.links()]
+        pairs, _ = _linked([signature(s) for s in sets], [len(s) for s in sets], [int(s[0]) for s in sets], np.array([own[f][0] for f in fps], np.int64), num, den, sets)
+        return [(fps[i], fps[j]) for i, j in pairs]
 
     yield from _pairs_out((solve(rows) for rows in _groups(batches, 3)), ["a", "b"])
 
@@ -305,11 +329,10 @@ def _possible_groups(batches: Iterator[pa.RecordBatch], num: int, den: int) -> I
         rows = list({r[0]: r for r in rows}.values())
         if len(rows) < 2:
             return []
-        tree = SignatureTree([(r[3], r[4]) for r in rows], [r[1] for r in rows], [r[2] & (1 << 64) - 1 for r in rows], np.arange(len(rows)), num, den)
-        tree.links()
+        _, roots = _linked([(r[3], r[4]) for r in rows], [r[1] for r in rows], [r[2] & (1 << 64) - 1 for r in rows], np.arange(len(rows)), num, den)
         groups: dict[int, list[int]] = {}
-        for at, root in zip(tree.order.tolist(), tree.root.tolist(), strict=True):
-            groups.setdefault(root, []).append(rows[at][0])
+        for row, root in zip(rows, roots.tolist(), strict=True):
+            groups.setdefault(root, []).append(row[0])
         return [(min(g), fp) for g in groups.values() if len(g) > 1 for fp in g]
 
     yield from _pairs_out((solve(rows) for rows in _groups(batches, 5)), ["leader", "fp"])

@@ -281,3 +281,18 @@ def test_html_table(spark):
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_text.extract(d).collect())
     assert got == [("1", "", 0), ("2", "Hi.", 3), ("2", "Hi.", 3), ("None", "deep, text", 10)]
     assert html_text.extract(d.limit(0)).collect() == []
+
+
+def test_linked_sizes_far_apart():
+    """Groups of very short and very long sets: links found, and signatures of long ones stay sharp beside short ones."""
+    r = np.random.default_rng(4)
+    sets = []
+    for size in (3, 40, 150, 700, 3000, 21_000, 70_000):
+        base = r.integers(0, 1 << 63, size, np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate([base[size // 10 :], r.integers(0, 1 << 63, size // 10, np.uint64)])), np.unique(r.integers(0, 1 << 63, size, np.uint64))]
+    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    args = [jaccard.signature(s) for s in sets], [len(s) for s in sets], [int(s[0]) for s in sets], np.arange(len(sets)), 80, 100
+    want = [min(j for j in range(i + 1) if share(sets[i], sets[j]) >= 0.8) for i in range(len(sets))]
+    assert jaccard._linked(*args, sets)[1].tolist() == want
+    possible = jaccard._linked(*args)[1].tolist()
+    assert all(possible[i] == possible[w] for i, w in enumerate(want)) and possible[6:] == want[6:]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import conversations, corpus, curation, evaluation, guards, logs, packing, tasks  # noqa: F401  (each registers its queries)
+from .plans import conversations, corpus, curation, evaluation, guards, logs, packing, reports, tasks  # noqa: F401  (each registers its queries)
 from .plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "t02_t06_quota_top_k"

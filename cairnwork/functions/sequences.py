@@ -80,3 +80,13 @@ def prompts_continuation(context: Column, continuation: Column, shots: Column, d
     shot = lambda x: F.concat(strip(x["context"]), F.lit(delimiter), x["continuation"])
     head = common_prompt(shots, shot, F.concat(strip(context), F.lit(delimiter)))
     return F.array(strip(head), F.concat(head, continuation))
+
+
+def token_view(pieces: Column, mask: Column, ids: Column | None = None) -> Column:
+    """Tokens in terminal colours, parted by bars: green where the mask is 1, red elsewhere; with ids each in grey after it."""
+    esc, grey = "\x1b[", "\x1b[90m"
+    colour = lambda t, m: F.concat(F.when(m == 1, esc + "92m").otherwise(esc + "91m"), t, F.lit(esc + "0m"))
+    out = F.zip_with(pieces, mask, colour)
+    if ids is not None:
+        out = F.zip_with(out, ids, lambda t, i: F.concat(t, F.lit("|" + grey + "("), i.cast("string"), F.lit(")" + esc + "0m")))
+    return F.array_join(out, "|")

@@ -51,3 +51,29 @@ def momentum(step: Column, steps: int = 300, first: float = 0.85, last: float =
 
 def weight_decay(step: Column, steps: int, most: float) -> Column:
     return most * (1 - step / F.lit(float(steps)))
+
+
+def consumed(step: Column, rank: int, world: int, size: int) -> Column:
+    """(cursor, epoch, progress, last) after so many rows of one rank of `world` that deals a table of `size` rows in turn."""
+    taken = rank + step * world
+    return F.struct((taken % size).cast("long").alias("cursor"), (F.floor(taken / size) + 1).cast("long").alias("epoch"), (taken / size).alias("progress"), (taken >= size).alias("last"))
+
+
+def scan_limit(rows: DataFrame, source: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each source in its order; tasks keep no more before the shuffle."""
+    from pyspark.sql import Window as W
+
+    return rows.withColumn("r_", F.row_number().over(W.partitionBy(source).orderBy(order))).where(F.col("r_") <= n).drop("r_")
+
+
+#: Rows that each source gives to the fixed validation mixture; None is all.
+VALIDATION_ROWS = {"SmolTalk": None, "MMLU": 5200, "GSM8K": 420}
+
+
+def fixed_mixture(sources: dict[str, DataFrame], idx: str, rows: dict[str, int | None]) -> DataFrame:
+    """The first rows of each source by its index, with the source's name: all of those without a number."""
+    out = None
+    for name, n in rows.items():
+        part = (sources[name] if n is None else sources[name].where(F.col(idx) < n)).withColumn("task", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

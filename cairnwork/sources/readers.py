@@ -90,3 +90,53 @@ def spelling(spark: SparkSession, words: DataFrame, size: int, seed: int = 0) ->
     answer = F.length("word") - F.length(F.replace("word", "letter", F.lit("")))
     question = F.concat(F.lit("How many "), "letter", F.lit(" are in "), "word", F.when(r(5) % 2 == 0, "?").otherwise(""))
     return d.select(F.col("id").alias("idx"), "word", "letter", F.when(r(6) % 10 < 3, F.lower(question)).otherwise(question).alias("question"), answer.alias("answer"))
+
+
+def unwrapped(df: DataFrame, wrapper: str) -> DataFrame:
+    """The fields of a struct column as columns; the others go."""
+    return df.select(f"{wrapper}.*")
+
+
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of a file with a word a line, without white space around; blank lines are empty words."""
+    return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("word"))
+
+
+def results_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV of results with a header; without a schema the types are inferred by a second reading."""
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def checked_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """conversations(), failing on a line that isn't two or more messages of text by user and assistant in turn."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(checked_messages(F.from_json("value", MESSAGES), F.col("value")).alias("messages"))
+
+
+def checked_messages(messages: Column, line: Column) -> Column:
+    """The messages; the query fails, with the line's beginning, unless there are two and user and assistant alternate."""
+    turn = lambda m, i: (m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")) & m["content"].isNotNull()
+    good = F.coalesce((F.size(messages) >= 2) & F.forall(F.transform(messages, turn), lambda ok: F.coalesce(ok, F.lit(False))), F.lit(False))
+    return F.when(good, messages).otherwise(F.raise_error(F.concat(F.lit("not a conversation: "), F.substring(F.coalesce(line, F.lit("null")), 1, 200))).cast(MESSAGES))
+
+
+def history(points: DataFrame, keys: list[str], pattern: str | None = None, most: int = 12) -> DataFrame:
+    """(run, key, step, value) from points (run, step, key, value): of each run the first of the keys that it has.
+
+    Points without a step or a value are left out, then runs of fewer than two points; of the others the first `most` by name.
+    A run with none of the keys has no point.
+    """
+    d = points.where(F.col("run").rlike(pattern)) if pattern else points
+    place = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("key"))
+    d = d.where(F.col("key").isin(keys)).withColumn("place_", place)
+    whole = F.col("step").isNotNull() & F.col("value").isNotNull()
+    first = d.groupBy("run", "place_").agg(F.count_if(whole).alias("n_")).groupBy("run").agg(F.min(F.struct("place_", "n_")).alias("f_"))
+    runs = first.where("f_.n_ >= 2").orderBy("run").limit(most).select("run", F.col("f_.place_").alias("place_"))
+    return d.where(whole).join(F.broadcast(runs), ["run", "place_"]).select("run", "key", "step", "value")
+
+
+def from_templates(spark: SparkSession, literals: list[tuple], schema: str, question: Column, answer: Column) -> DataFrame:
+    """(idx, question, answer) of a template filled from a bounded list of literals in its order."""
+    d = spark.createDataFrame([(k, *row) for k, row in enumerate(literals)], f"idx long, {schema}")
+    return d.select("idx", question.alias("question"), answer.alias("answer"))

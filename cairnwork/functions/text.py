@@ -28,7 +28,7 @@ def normalize_text(c: Column) -> Column:
 
 def normalize_user_prompt(c: Column) -> Column:
     # Texts have no outer white space before a beginning is cut, so stripping where nothing was cut changes nothing.
-    return normalize_text(reduce(lambda x, p: strip(F.regexp_replace(x, "(?i)" + p, "")), V.PROMPT_BEGINNINGS, normalize_text(c)))
+    return normalize_text(reduce(lambda x, p: strip(F.regexp_replace(x, "(?iU)" + p, "")), V.PROMPT_BEGINNINGS, normalize_text(c)))
 
 
 def strip_markup(c: Column) -> Column:
@@ -37,7 +37,7 @@ def strip_markup(c: Column) -> Column:
 
 def sentence_chunks(c: Column) -> Column:
     """Sentences and lines, normalised, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n+"), normalize_text), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+|\n+"), normalize_text), lambda x: x != "")
 
 
 def word_count(c: Column) -> Column:
@@ -58,14 +58,14 @@ def answer_hint(c: Column, bare_operators: bool = False) -> Column:
     """The answer a text states, or null: the first place with letters or digits in it wins."""
     out = []
     for p in V.ANSWER_PLACES:
-        v = F.btrim(normalize_text(F.regexp_extract(c, p, 1)), F.lit(" .$"))
+        v = F.btrim(normalize_text(F.regexp_extract(c, "(?U)" + p, 1)), F.lit(" .$"))
         good = v.rlike("[A-Za-z0-9]")
         out.append(F.when(good, v))
     return F.coalesce(*out)
 
 
 def without_beginnings(c: Column) -> Column:
-    return reduce(lambda x, p: strip(F.regexp_replace(x, "(?i)" + p, "")), V.ANSWER_BEGINNINGS, c)
+    return reduce(lambda x, p: strip(F.regexp_replace(x, "(?iU)" + p, "")), V.ANSWER_BEGINNINGS, c)
 
 
 def _gathered(chunks: Column, chars: int, words: int, most: int, unique: bool) -> Column:

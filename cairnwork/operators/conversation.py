@@ -12,11 +12,14 @@ from .ranks import cut
 def first_pairs(turns: DataFrame) -> DataFrame:
     """(conv_id, user, assistant) of conversations whose first two turns are user and assistant.
 
-    Only turns 0 and 1 are read, in partial aggregates, so a hot conversation isn't gathered.
+    Only turns 0 and 1 are read, in partial aggregates, so a hot conversation isn't gathered. A turn without text is a
+    turn: its side is null.
     """
-    pick = lambda n, role, c: F.max(F.when((F.col("turn") == n) & (F.col("role") == role), F.col(c)))
-    g = turns.where("turn IN (0, 1)").groupBy("conv_id").agg(pick(0, "user", "text").alias("user"), pick(1, "assistant", "text").alias("assistant"))
-    return g.where("user IS NOT NULL AND assistant IS NOT NULL")
+    at = lambda n, role: (F.col("turn") == n) & (F.col("role") == role)
+    pick = lambda n, role: F.max(F.when(at(n, role), F.col("text"))).alias(role)
+    there = [F.bool_or(at(n, role)).alias(f"{role}_there_") for n, role in ((0, "user"), (1, "assistant"))]
+    g = turns.where("turn IN (0, 1)").groupBy("conv_id").agg(pick(0, "user"), pick(1, "assistant"), *there)
+    return g.where("user_there_ AND assistant_there_").drop("user_there_", "assistant_there_")
 
 
 def nested(turns: DataFrame) -> DataFrame:

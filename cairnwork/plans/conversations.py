@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import conversation as C
+from . import rules_sql as R
 from .corpus import _any, _norm, _words
 from .registry import query, read
 
@@ -52,7 +53,7 @@ def f10_valid_pairs_distilled(spark, sf_dir):
     return p.where(X.valid_pair(F.col("user"), F.col("assistant"), "distilled")).select("conv_id")
 
 
-@query()
+@query(f"SELECT conv_id, assistant AS answer, conv_id IN (SELECT conv_id FROM {R.valid(_PAIRS, 'v3')}) AS valid FROM {R.answers(_PAIRS, 'assistant', True)}")
 def f09_x07_teacher_answers(spark, sf_dir):
     p = C.first_pairs(read(spark, sf_dir, "conversations"))
     answer = X.teacher_answer(F.col("assistant"))

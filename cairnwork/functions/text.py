@@ -217,6 +217,18 @@ def letter_count(word: Column, letter: Column) -> Column:
     return F.length(word) - F.length(F.replace(word, letter, F.lit("")))
 
 
+def letter_trace(word: Column, letter: Column) -> Column:
+    """A word spelled out and its letters counted one by one, as text."""
+
+    def line(c: Column, i: Column) -> Column:
+        so_far = letter_count(F.substring(word, F.lit(1), i + 1), letter)
+        return F.concat(i + 1, F.lit(":"), c, F.when(c == letter, F.concat(F.lit(" hit! count="), so_far)).otherwise(""), F.lit("\n"))
+
+    letters = F.filter(F.split(word, ""), lambda x: x != "")
+    head = F.concat(F.lit("We are asked to find the number '"), letter, F.lit("' in the word '"), word, F.lit("'. Let me try a manual approach first.\n\nFirst spell the word out:\n"), word, F.lit(":"), spelled(word), F.lit("\n\nThen count the occurrences of '"), letter, F.lit("':\n"))
+    return F.concat(head, F.array_join(F.transform(letters, line), ""), F.lit("\nThis gives us "), letter_count(word, letter), F.lit("."))
+
+
 def program_of(c: Column) -> Column:
     """The first fenced block, or the stripped text."""
     block = F.regexp_extract(c, r"(?s)```(?:python)?\s*\n(.*?)\n```", 1)

@@ -68,3 +68,20 @@ PEAK_FLOPS = (
     (("mi355",), 2.5e15), (("mi325",), 1.3074e15), (("mi300x",), 1.3074e15), (("mi300a",), 980.6e12), (("mi250x",), 383e12), (("mi250",), 362.1e12),
     (("5090",), 209.5e12), (("4090",), 165.2e12), (("3090",), 71e12),
 )
+
+# Ways to ask how often a letter stands in a word, and marks around either.
+COUNT_QUESTIONS = (
+    "How many {letter} are in the word {word}", "How many {letter} are in {word}", "Count the number of {letter} in {word}", "How many times does {letter} appear in {word}", "What's the count of {letter} in {word}",
+    "In the word {word}, how many {letter} are there", "How many letter {letter} are in the word {word}", "Count how many {letter} appear in {word}", "Tell me the number of {letter} in {word}", "How many occurrences of {letter} are in {word}",
+    "Find the count of {letter} in {word}", "Can you count the {letter} letters in {word}", "What is the frequency of {letter} in {word}", "How many {letter}s are in {word}", "How many {letter}'s are in {word}",
+    "Count all the {letter} in {word}", "How many times is {letter} in {word}", "Number of {letter} in {word}", "Total count of {letter} in {word}", "How many {letter} does {word} have",
+    "How many {letter} does {word} contain", "What's the number of {letter} in {word}", "{word} has how many {letter}", "In {word}, count the {letter}", "How many {letter} appear in {word}",
+    "Count the {letter} in {word}", "Give me the count of {letter} in {word}", "How many instances of {letter} in {word}", "Show me how many {letter} are in {word}", "Calculate the number of {letter} in {word}",
+    "¿Cuántas {letter} hay en {word}?", "¿Cuántas veces aparece {letter} en {word}?", "Cuenta las {letter} en {word}", "¿Cuántas letras {letter} tiene {word}?",
+    "{word}中有多少个{letter}", "{word}里有几个{letter}", "数一下{word}中的{letter}", "{word}这个词里有多少{letter}",
+    "{word}에 {letter}가 몇 개 있나요", "{word}에서 {letter}의 개수는", "{word}에 {letter}가 몇 번 나오나요", "{word}라는 단어에 {letter}가 몇 개",
+    "Combien de {letter} dans {word}", "Combien de fois {letter} apparaît dans {word}", "Compte les {letter} dans {word}",
+    "Wie viele {letter} sind in {word}", "Wie oft kommt {letter} in {word} vor", "Zähle die {letter} in {word}",
+    "{word}に{letter}は何個ありますか", "{word}の中に{letter}がいくつ", "{word}に{letter}が何回出てくる",
+)
+QUOTES = ("", "'", '"')

@@ -69,9 +69,9 @@ def x01_normalize_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(X.normalize_text(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query(f"SELECT doc_id, len(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x: {_norm('x')}), lambda x: x <> '')) AS n FROM documents")
+@query(f"SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x: {_norm('x')}), lambda x: x <> ''), chr(1))) AS chunks FROM documents")
 def x04_sentence_chunks(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.size(X.sentence_chunks(F.col("text"))).cast("long").alias("n"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(F.array_join(X.sentence_chunks(F.col("text")), "\x01").cast("binary")).alias("chunks"))
 
 
 @query("SELECT category, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN {_any('t', w)} THEN '{c}'" for c, w in V.THOUGHT_CATEGORIES) + f" ELSE 'general-reasoning' END AS category FROM (SELECT lower({_norm('text')}) AS t FROM documents)) GROUP BY 1")

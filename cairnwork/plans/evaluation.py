@@ -121,10 +121,20 @@ def a19_linear_regression(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy("l_linestatus").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-@query()
+_XS = ("l_quantity", "l_discount", "l_tax")
+_det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+_GRAM = [[f"(c{min(i, j)}{max(i, j)}" + (" + alpha)" if i == j else ")") for j in range(3)] for i in range(3)]
+_CRAMER = [_det([[f"c{i}3" if j == k else _GRAM[i][j] for j in range(3)] for i in range(3)]) + f" / {_det(_GRAM)}" for k in range(3)]
+_SUMS = ", ".join(f"sum((x{i} - m{i}) * (x{j} - m{j})) AS c{i}{j}" for i in range(4) for j in range(i, 4))
+
+
+@query(f"""WITH x AS (SELECT {", ".join(f"{c}::DOUBLE AS x{i}" for i, c in enumerate((*_XS, "l_extendedprice")))} FROM lineitem), m AS (SELECT avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM x),
+    c AS (SELECT {_SUMS}, any_value(m0) AS m0, any_value(m1) AS m1, any_value(m2) AS m2, any_value(m3) AS m3 FROM x, m), w AS (SELECT *, {", ".join(f"{e} AS w{k}" for k, e in enumerate(_CRAMER))} FROM c, (VALUES (0.0::DOUBLE), (0.001), (0.01), (0.1), (1.0)) v(alpha))
+    SELECT alpha, round(m3 - w0 * m0 - w1 * m1 - w2 * m2, 3) AS intercept, round(w0, 3) AS quantity, round(w1, 3) AS discount, round(w2, 3) AS tax,
+    round(1 - (c33 - 2 * (w0 * c03 + w1 * c13 + w2 * c23) + w0 * w0 * c00 + w1 * w1 * c11 + w2 * w2 * c22 + 2 * (w0 * w1 * c01 + w0 * w2 * c02 + w1 * w2 * c12)) / c33, 6) AS r2 FROM w""")
 def a20_ridge_sweep(spark, sf_dir):
-    rows = S.ridge(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
-    return spark.createDataFrame([(r["alpha"], r["intercept"], r["weights"], r["r2"]) for r in rows], "alpha double, intercept double, weights array<double>, r2 double")
+    rows = S.ridge(read(spark, sf_dir, "lineitem"), list(_XS), "l_extendedprice")
+    return spark.createDataFrame([(r["alpha"], round(r["intercept"], 3), *[round(w, 3) for w in r["weights"]], round(r["r2"], 6)) for r in rows], "alpha double, intercept double, quantity double, discount double, tax double, r2 double")
 
 
 @query("""SELECT feature, r2, row_number() OVER (ORDER BY r2 DESC, feature) AS place FROM (SELECT 'l_quantity' AS feature, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem UNION ALL SELECT 'l_discount', regr_r2(l_extendedprice, l_discount) FROM lineitem UNION ALL SELECT 'l_tax', regr_r2(l_extendedprice, l_tax) FROM lineitem)""")

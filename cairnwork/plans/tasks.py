@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import values as V
 from ..operators import ordered as O
 from ..sources import readers, writers
 from .registry import query, read
@@ -28,10 +29,28 @@ def s26_x18_spelling(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", X.spelled(F.col("p_name")).alias("spelled"), X.letter_count(F.col("p_name"), F.lit("a")).cast("long").alias("letters"))
 
 
-@query()
-def s25_generated_items(spark, sf_dir):
-    words = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.lower("n_name").alias("word"))
-    return readers.spelling(spark, words, 1000)
+_draw = lambda k, n: f"(('0x' || sha1(seed || ':{k}')[1:15])::BIGINT % ({n}))"
+_list = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+_items = lambda size, first: f"(SELECT idx, seed, word FROM (SELECT i AS idx, i + {first} AS seed FROM generate_series(0, {size - 1}) t(i)) JOIN (SELECT n_nationkey AS k, lower(n_name) AS word FROM nation) ON k = {_draw(0, '(SELECT count(*) FROM nation)')})"
+
+
+@query(f"""WITH l AS (SELECT *, CASE WHEN {_draw(1, 10)} < 9 THEN word[{_draw(2, 'length(word)')} + 1] ELSE chr((97 + {_draw(3, 26)})::INT) END AS letter, {_list(V.COUNT_QUESTIONS)}[{_draw(4, len(V.COUNT_QUESTIONS))} + 1] AS asked, {_list(V.QUOTES)}[{_draw(6, 3)} + 1] AS q1, {_list(V.QUOTES)}[{_draw(7, 3)} + 1] AS q2 FROM {_items(1000, 0)}),
+    n AS (SELECT *, length(word) - length(replace(word, letter, '')) AS answer FROM l)
+    SELECT idx, word, letter, replace(replace(CASE WHEN {_draw(5, 10)} < 3 THEN lower(asked) ELSE asked END, '{{letter}}', q1 || letter || q1), '{{word}}', q2 || word || q2) || CASE WHEN {_draw(8, 2)} = 0 THEN '?' ELSE '' END AS question,
+    'We are asked to find the number ''' || letter || ''' in the word ''' || word || '''. Let me try a manual approach first.' || chr(10) || chr(10) || 'First spell the word out:' || chr(10) || word || ':' || array_to_string(string_split(word, ''), ',') || chr(10) || chr(10) || 'Then count the occurrences of ''' || letter || ''':' || chr(10)
+        || array_to_string(list_transform(range(1, length(word) + 1), lambda i: i || ':' || word[i] || CASE WHEN word[i] = letter THEN ' hit! count=' || (i - length(replace(word[1:i], letter, ''))) ELSE '' END || chr(10)), '') || chr(10) || 'This gives us ' || answer || '.' AS trace,
+    '''' || word || '''.count(''' || letter || ''')' AS call, answer, chr(10) || chr(10) || 'Python gives us ' || answer || '.' || chr(10) || chr(10) || 'My final answer is:' || chr(10) || chr(10) || '#### ' || answer AS final FROM n""")
+def s25_x18_generated_items(spark, sf_dir):
+    return readers.spelling(spark, _nations(spark, sf_dir), 1000)
+
+
+@query(f"SELECT idx, 'Spell the word: ' || word AS question, word || ':' || array_to_string(string_split(word, ''), ',') AS answer FROM {_items(500, readers.TEST_SEEDS)}")
+def s26_spelled_words(spark, sf_dir):
+    return readers.spelled_words(spark, _nations(spark, sf_dir), 500, test=True)
+
+
+def _nations(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.lower("n_name").alias("word"))
 
 
 @query("SELECT 0 AS task, doc_id AS idx FROM documents UNION ALL SELECT 1, (SELECT coalesce(max(doc_id) + 1, 0) FROM documents) + item_id FROM benchmark")

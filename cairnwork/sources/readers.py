@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..functions import values as V
+
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
@@ -79,17 +82,44 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
-def spelling(spark: SparkSession, words: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """size generated items (idx, word, letter, question, answer) from a word table (idx, word), each from its own seed."""
+#: Seeds of test items begin here, beyond those of training items.
+TEST_SEEDS = 10_000_000
+
+
+def _generated(spark: SparkSession, words: DataFrame, size: int, test: bool) -> tuple[DataFrame, object]:
+    """size items (idx, seed_, word), each with a word (idx, word) drawn by its own seed, and the draws: draw(k, n) is below n."""
     n = words.count()
-    r = lambda k: F.pmod(F.xxhash64("id", F.lit(seed * 100 + k)), F.lit(1 << 30))
-    d = spark.range(size).withColumn("pick", r(1) % max(1, n)).join(words.withColumnRenamed("idx", "w_"), F.col("pick") == F.col("w_"))
-    own = F.substring("word", (r(2) % F.length("word") + 1).cast("int"), F.lit(1))
-    other = F.chr(F.lit(97) + r(3) % 26)
-    d = d.withColumn("letter", F.when(r(4) % 10 < 9, own).otherwise(other))
-    answer = F.length("word") - F.length(F.replace("word", "letter", F.lit("")))
-    question = F.concat(F.lit("How many "), "letter", F.lit(" are in "), "word", F.when(r(5) % 2 == 0, "?").otherwise(""))
-    return d.select(F.col("id").alias("idx"), "word", "letter", F.when(r(6) % 10 < 3, F.lower(question)).otherwise(question).alias("question"), answer.alias("answer"))
+    d = spark.range(size).select(F.col("id").alias("idx"), (F.col("id") + (TEST_SEEDS if test else 0)).alias("seed_"))
+    draw = lambda k, most: F.conv(F.substring(F.sha1(F.concat("seed_", F.lit(f":{k}")).cast("binary")), 1, 15), 16, 10).cast("long") % most
+    w = words.select(F.col("idx").alias("w_"), "word")
+    return d.withColumn("pick_", draw(0, max(1, n))).join(w, F.col("pick_") == F.col("w_")).drop("pick_", "w_"), draw
+
+
+def spelling(spark: SparkSession, words: DataFrame, size: int, test: bool = False) -> DataFrame:
+    """size generated items (idx, word, letter, question, trace, call, answer, final) from a word table (idx from 0, word).
+
+    The letter is one of the word's in nine of ten items. Three of ten questions are in lower case, half end with a question
+    mark, letter and word may stand in quotes. The trace counts by hand, the call counts by program. An empty word has the letter ''.
+    """
+    d, draw = _generated(spark, words, size, test)
+    own = F.substring("word", (draw(2, F.greatest(F.length("word"), F.lit(1))) + 1).cast("int"), F.lit(1))
+    d = d.withColumn("letter", F.when(draw(1, 10) < 9, own).otherwise(F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (draw(3, 26) + 1).cast("int"), F.lit(1))))
+    of = lambda values, k: F.array(*map(F.lit, values))[draw(k, len(values)).cast("int")]
+    asked = of(V.COUNT_QUESTIONS, 4)
+    asked = F.when(draw(5, 10) < 3, F.lower(asked)).otherwise(asked)
+    quoted = lambda c, k: F.concat(of(V.QUOTES, k), c, of(V.QUOTES, k))
+    asked = F.replace(F.replace(asked, F.lit("{letter}"), quoted("letter", 6)), F.lit("{word}"), quoted("word", 7))
+    d = d.withColumn("question", F.concat(asked, F.when(draw(8, 2) == 0, "?").otherwise("")))
+    count = X.letter_count(F.col("word"), F.col("letter")).cast("long")
+    call = F.concat(F.lit("'"), "word", F.lit("'.count('"), "letter", F.lit("')"))
+    final = F.concat(F.lit("\n\nPython gives us "), count, F.lit(".\n\nMy final answer is:\n\n#### "), count)
+    return d.select("idx", "word", "letter", "question", X.letter_trace(F.col("word"), F.col("letter")).alias("trace"), call.alias("call"), count.alias("answer"), final.alias("final"))
+
+
+def spelled_words(spark: SparkSession, words: DataFrame, size: int, test: bool = False) -> DataFrame:
+    """size items (idx, question, answer) that ask for a word's letters."""
+    d, _ = _generated(spark, words, size, test)
+    return d.select("idx", F.concat(F.lit("Spell the word: "), "word").alias("question"), F.concat("word", F.lit(":"), X.spelled(F.col("word"))).alias("answer"))
 
 
 def unwrapped(df: DataFrame, wrapper: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_against_sql(spark, folder, name):
 
 @pytest.mark.parametrize("text, want", [
     (LONG + "Final answer: 4.", f"Answer: 4\nWhy: {LONG.strip()}"),
-    ("Thus. One thing. One thing. Hence", "Thus. One thing."),  # white space of any script parts sentences, equal ones count once
+    ("Thus.\u00a0One thing.\u2003One thing. Hence", "Thus. One thing."),  # white space of any script parts sentences, equal ones count once
     ("Step 2: It is so.", "It is so."),
     ("a ``` b", ""),
 ])

@@ -87,3 +87,11 @@ def test_consumed_and_view(spark):
     plain, with_ids = d.select(S.token_view(F.col("p"), F.col("m")), S.token_view(F.col("p"), F.col("m"), F.col("i"))).first()
     assert plain == "\x1b[92ma\x1b[0m|\x1b[91mb\x1b[0m"
     assert with_ids == "\x1b[92ma\x1b[0m|\x1b[90m(5)\x1b[0m|\x1b[91mb\x1b[0m|\x1b[90m(6)\x1b[0m"
+
+
+def test_packing_shares(spark):
+    from cairnwork.operators import packing as P
+
+    packed = spark.createDataFrame([(0, 0, 6, 0), (0, 0, 4, 3), (0, 1, 5, 0), (1, 0, 10, 2)], "rank int, row long, used long, lost long")
+    r = P.metrics(packed, 10).first()  # rows (0, 0), (0, 1) and (1, 0) hold 10, 5 and 10 of 10
+    assert (r["utilisation"], r["crop"], r["padding"]) == (pytest.approx(25 / 30), pytest.approx(5 / 30), pytest.approx(5 / 30))

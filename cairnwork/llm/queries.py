@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cnn, divergence, embeddings, html_text, jaccard, mixing, packing, quality_rules, sharding, tokens, toxicity
+from . import cnn, divergence, embeddings, html_text, jaccard, mixing, packing, quality_rules, repair, sharding, tokens, toxicity
 from .common import table
 
 
@@ -52,12 +52,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_audit(table(spark, sf_dir, "conversations"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_mixing, op3_quality_rules, op4_packing, op5_quality_cnn, op6_toxicity_trees, op7_embedding_pigeonhole, op8_token_counts, op9_jaccard_join, op10_html_extraction, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_mixing, op3_quality_rules, op4_packing, op5_quality_cnn, op6_toxicity_trees, op7_embedding_pigeonhole, op8_token_counts, op9_jaccard_join, op10_html_extraction, op12_conversation_repair, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -68,5 +72,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality_rules.oracle_sql(),
         "op7_embedding_pigeonhole": embeddings.oracle_sql(),
         "op9_jaccard_join": jaccard.oracle_sql(),
+        "op12_conversation_repair": repair.oracle_sql(),
         "op13_source_divergence": divergence.oracle_sql(),
     }

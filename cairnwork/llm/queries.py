@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cnn, divergence, embeddings, html_text, jaccard, mixing, packing, quality_rules, repair, sharding, tokens, toxicity
+from . import cnn, divergence, embeddings, html_text, huffman, jaccard, mixing, packing, quality_rules, repair, sharding, tokens, toxicity
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_audit(table(spark, sf_dir, "conversations"))
 
@@ -61,7 +65,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_mixing, op3_quality_rules, op4_packing, op5_quality_cnn, op6_toxicity_trees, op7_embedding_pigeonhole, op8_token_counts, op9_jaccard_join, op10_html_extraction, op12_conversation_repair, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_mixing, op3_quality_rules, op4_packing, op5_quality_cnn, op6_toxicity_trees, op7_embedding_pigeonhole, op8_token_counts, op9_jaccard_join, op10_html_extraction, op11_huffman_ids, op12_conversation_repair, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,15 +1,22 @@
-"""Operators 11 to 13 against plain versions on small inputs with nulls, ties, repeated rows and long texts."""
+"""Operators 11 to 13 against the library and plain versions, on inputs with nulls, ties, repeated rows and long texts."""
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import itertools
 import random
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
-from cairnwork.llm import divergence, repair
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from cairnwork.llm import divergence, huffman, repair
 
 
 def by_hand_repair(rows):
@@ -153,3 +160,87 @@ def test_divergence_equals_a_plain_version(spark):
         got = sorted(tuple(r) for r in divergence.divergence(df, least, top).select("lang", "source", "part", "item", "value", "rank").collect())
         assert got == by_hand_divergence(docs, least, top)
     assert divergence.divergence(df.limit(0)).count() == 0
+
+
+def digest(docs):
+    """By the library, whole texts: {(doc_id, start): (n_tokens, crc)} in order of ids, nulls first, equal ids by text hash left out."""
+    library = Tokenizer.from_file(public_tokenizers.path(huffman.TOKENIZER))
+    out, start = [], 0
+    for doc, text in docs:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        out.append((doc, start, len(ids), zlib.crc32(array("I", ids).tobytes())))
+        start += len(ids)
+    return out
+
+
+def odd_texts():
+    draw = random.Random(3)
+    alphabet = [" ", "\n", "\t", "'", "a", "b", "T", "s", "é", "e\u0301", "\u0301", "\x1c", "\x85", "\x0b", "\u2003", "\r", ".", "!", "<|", "|>", "1", "中", "K", "İ", "Σ"]
+    texts = [None, "", "\n", "<|endoftext|> x<|STARTOFTEXT|>y<|startoftext|>", "don't I'LL 'S o'clock. A.", "a" * 5000 + " b", "Word, word; word: WORD! (word). e.g. U.S.A. 3.14, 5."]
+    return texts + ["".join(draw.choices(alphabet, k=draw.randrange(40))) for _ in range(400)]
+
+
+def test_files_of_ids_give_what_the_library_does(spark, tmp_path):
+    docs = list(enumerate(odd_texts())) + [(5000, "long text. " * 50_000), (-7, "first"), (None, "null id")]
+    random.Random(1).shuffle(docs)
+    df = spark.createDataFrame([(*d, 0, 1) for d in docs], "doc_id long, text string, ids long, part int")
+    want = digest(sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)))
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    by_start = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: r[1])
+    assert by_start(huffman.round_trip(df).select(columns).collect()) == want
+    path = f"file://{tmp_path}/ids"
+    huffman.write(df, path, block=7, stream=100)
+    for first, last in ((0, None), (50, 500), (want[40][1], want[41][1]), (10**9, None), (3, 3)):
+        got = [(r["doc_id"], r["start"], len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in huffman.read(spark, path, first, last).collect()]
+        assert by_start(got) == [w for w in want if first <= w[1] and (last is None or w[1] < last)]
+    assert sorted(p.name for p in (tmp_path / "ids").iterdir()) == ["codebook", "streams"]
+    assert huffman.round_trip(df.limit(0)).count() == 0
+
+
+def test_files_of_ids_of_repeated_documents(spark):
+    docs = [(3, "b"), (3, "a"), (3, None), (1, "x y"), (1, "x y")]
+    got = huffman.round_trip(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((d, n, c) for d, _, n, c in digest(docs))
+    ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in got)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(ends))
+
+
+def test_code_lengths_are_least_and_bounded():
+    draw = np.random.default_rng(2)
+    for _ in range(60):
+        counts = draw.integers(0, 1000, draw.integers(2, 60)) ** int(draw.integers(1, 4))
+        heap = [int(c) for c in counts if c]
+        if len(heap) < 2:
+            continue
+        least, n = 0, len(heap)
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            least += both
+            heapq.heappush(heap, both)
+        free, bounded = huffman.code_lengths(counts, 64), huffman.code_lengths(counts, 1)
+        assert int((counts * free).sum()) == least and all((b > 0) == (c > 0) for b, c in zip(free, counts, strict=True))
+        assert bounded.max() <= (n - 1).bit_length() and sum(2.0**-b for b in bounded if b) <= 1 >= sum(2.0**-b for b in free if b)
+
+
+def test_streams_by_block_and_range():
+    ids = (np.random.default_rng(4).zipf(1.3, 300_000) % 3000).astype(np.uint16)
+    book = huffman.Codebook(huffman.code_lengths(np.bincount(ids)))
+    stream = book.pack(ids)
+    for first, last in ((0, None), (255, 257), (256, 512), (299_999, 10**9), (7, 7), (262_143, 262_145)):
+        assert (book.unpack(stream, first, last) == ids[first:last]).all()
+    one = huffman.Codebook(huffman.code_lengths(np.array([0, 0, 9])))
+    assert one.unpack(one.pack(np.full(700, 2, np.uint16))).tolist() == [2] * 700
+    with pytest.raises(ValueError):
+        book.unpack(b"nope" + stream[4:])
+
+
+def test_words_of_all_characters_are_those_of_the_library():
+    """Every character beside letters, stops, spaces and line ends."""
+    encode, texts = huffman.WordEncoder(public_tokenizers.path(huffman.TOKENIZER)), []
+    for k in range(0, 0x11000, 16):
+        some = [chr(c) for c in range(k, k + 16) if not 0xD800 <= c < 0xE000]
+        texts.append("".join(f"a{c} {c}b\n{c}'t.{c}!" for c in some))
+    flat, n = encode.encode(texts, 2)
+    want = [[*e.ids, 2] for e in encode.library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want

@@ -12,8 +12,10 @@ Codes are canonical: in the order of (bits, id) each is the one before plus one,
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,34 +27,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint_folder, cut, text_slices, tidy
+from .bpe import byte_symbols
+from .common import bounded_batches, checkpoint_folder, cut, tidy
 from .tokens import tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Longest code; the decoder's table has two to that power entries. Vocabularies that need more get more.
-LONGEST = 18
-#: Ids in a block; ids of a stream, which ends with the document that reaches them; ids whose bits are laid at once.
+LONGEST = 17
+#: Ids in a block; ids of a stream of several documents at most; ids whose bits are laid at once.
 BLOCK, STREAM, AT_ONCE = 256, 1 << 20, 1 << 18
 #: Streams of an Arrow batch.
 STREAMS = 16
 #: Words that a worker remembers, and the longest of them.
-REMEMBER, LONG = 600_000, 64
+REMEMBER, LONG = 1_000_000, 64
 #: Bytes of text that are encoded at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 16 << 20
 HEADER = struct.Struct("<4sHHQQ")
 MAGIC = b"CHF1"
 
 
-#: The word that marks a text's end: no word has a line end.
+#: The word that marks a text's end: no other has a line end.
 END = " \n"
-#: What parts from a letter before it at the end of a word, whatever the word.
-STOPS = frozenset(".,;:!?")
-
-
-def _plain(text: str) -> str:
-    """text with its line ends as spaces and A to Z small; a special string is one only in small letters."""
-    return (text if "<|" in text else text.encode().lower().decode()).replace("\n", " ")
+#: Small letters that the tokenizer leaves as they are and takes for letters; words of them are one pre-token each.
+LETTERS = "a-zà-öø-ÿ"
 
 
 class WordEncoder:
@@ -61,7 +59,8 @@ class WordEncoder:
     The tokenizer never joins characters across a space or a line end: its rule drops white space between tokens, its
     normal form composes nothing with a space, and its special strings have none. So a text's ids are those of its
     words, one after the other, and a word seen before is looked up. Capitals are made small and a stop behind a
-    letter is parted from it beforehand, as the tokenizer does with both, so that fewer words differ.
+    letter is parted from it beforehand, as the tokenizer does with both, so that fewer words differ. A word of small
+    letters needs no normal form and goes to the library's model at once.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,35 +70,52 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if max(self.library.get_vocab().values()) < 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        signs = {b: c for c, b in byte_symbols().items()}
+        self.signs = {ord(c): "".join(signs[b] for b in c.encode()) for c in map(chr, range(0x100)) if re.match(f"[{LETTERS}]", c)}
 
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each with `end` behind it, and their numbers of ids."""
-        words = pc.split_pattern(pa.array([_plain(t or "") + END for t in texts], pa.large_string()), " ")
+        low, special = pc.ascii_lower(texts), pc.match_substring(texts, "<|")  # a special string is one only in small letters
+        if pc.any(special).as_py():
+            low = pc.if_else(special, texts, low)
+        low = pc.binary_join_element_wise(pc.replace_substring(low, "\n", " "), *(pa.scalar(x, pa.large_string()) for x in (END, "")))
+        words = pc.split_pattern(pc.replace_substring_regex(low, f"([{LETTERS}])([.,;:!?]) ", r"\1 \2 "), " ")
         coded = words.flatten().dictionary_encode()
         entries = self._entries(coded.dictionary.to_pylist(), np.array([end], self.kind).tobytes())
-        size = np.array([len(e) // self.kind.itemsize for e in entries], np.int64)
-        first, at = np.cumsum(size) - size, coded.indices.to_numpy(zero_copy_only=False)
+        size = np.fromiter(map(len, entries), np.int32, len(entries)) // self.kind.itemsize
+        at = coded.indices.to_numpy(zero_copy_only=False)
         n = size[at]
-        stop = np.cumsum(n)
-        ids = np.frombuffer(b"".join(entries), self.kind)[np.repeat(first[at] - stop + n, n) + np.arange(stop[-1])]
+        stop = np.cumsum(n)  # a slice's ids are far fewer than 2 ** 31
+        place = np.repeat((np.cumsum(size, dtype=np.int32) - size)[at] - (stop - n).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
         ends = stop[np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False)) - 1]
-        return ids, np.diff(ends, prepend=0)
+        return np.frombuffer(b"".join(entries), self.kind)[place], np.diff(ends, prepend=0)
 
     def _entries(self, words: list[str], end: bytes) -> list[bytes]:
         """The ids of distinct words; the end's mark gives the end."""
         known = self.known
-        parted = {w: w[:-1] for w in words if w[-1:] in STOPS and w[-2:-1].isascii() and w[-2:-1].isalpha()}
-        new = list({parted.get(w, w) for w in words}.union(STOPS if parted else ()).difference(known))
-        known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        out = [end if w == END[1:] else known[parted[w]] + known[w[-1]] if w in parted else known[w] for w in words]
+        known[END[1:]] = end
+        out = [known.get(w) for w in words]
+        new = [k for k, b in enumerate(out) if b is None]
+        signs, model, code, odd = self.signs, self.library.model.tokenize, "H" if self.kind.itemsize == 2 else "I", []
+        for k in new:
+            w = words[k]
+            if _PLAIN(w):
+                known[w] = out[k] = array(code, [t.id for t in model(w.translate(signs))]).tobytes()
+            else:
+                odd.append(k)
+        for k, e in zip(odd, self.library.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
+            out[k] = array(code, e.ids).tobytes()
+            if len(words[k]) <= LONG:
+                known[words[k]] = out[k]
         if len(known) > REMEMBER:
             self.known = {"": b""}
-        for w in new:
-            if len(w) > LONG:
-                self.known.pop(w, None)
         return out
 
 
+_PLAIN = re.compile(f"[{LETTERS}]{{1,{LONG}}}").fullmatch
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """One for each file and worker process."""
@@ -147,10 +163,9 @@ class Codebook:
         first = np.cumsum(span) - span  # of the windows that begin with the code
         self.codes = np.zeros(len(bits), np.uint64)
         self.codes[used] = first >> (self.longest - bits[used])
-        ids, lengths = np.repeat(used, span), np.repeat(bits[used], span)
-        rest = (1 << self.longest) - len(ids)  # one symbol alone leaves windows that nothing makes
-        self.ids = np.append(ids, np.zeros(rest, np.int64)).astype(np.uint32)
-        self.lengths = np.append(lengths, np.ones(rest, np.int64)).astype(np.int64)
+        windows = np.repeat(used << 5 | bits[used], span)  # id and length
+        rest = (1 << self.longest) - len(windows)  # one symbol alone leaves windows that nothing makes
+        self.windows = np.append(windows, np.ones(rest, np.int64)).astype(np.uint32)
 
     def _bits(self, ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
         """(words, first bit of each block) of some ids."""
@@ -203,9 +218,9 @@ class Codebook:
                 at = at[:-1]
             if not len(at):
                 break
-            window = (windows[at >> 3] << (at & 7).astype(np.uint32)) >> left
-            out[k, : len(at)] = self.ids[window]
-            at += self.lengths[window]
+            found = self.windows[(windows[at >> 3] << (at & 7).astype(np.uint32)) >> left]
+            out[k, : len(at)] = found >> 5
+            at += found & 31
         return out.T.reshape(-1)[first - low * block : last - low * block]
 
 
@@ -220,15 +235,18 @@ def written(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int
         words = encoder(tokenizer_path(tokenizer))
         part, place, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for ids, texts in text_slices(batch, TEXT_BYTES):
-                flat, n = words.encode(texts, end_id)
+            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < len(size):
+                stop = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + TEXT_BYTES)))
+                own = batch.slice(first, stop - first)
+                flat, n = words.encode(own.column(1).cast(pa.large_string()), end_id)
                 total = np.cumsum(n)
-                raw = np.split(flat, total[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(raw), pa.int32()), pa.array(np.arange(place, place + len(raw))), ids, pa.array(before + total - n), pa.array(n), pa.array([r.tobytes() for r in raw], pa.binary())],
+                    [pa.array([part] * len(n), pa.int32()), pa.array(np.arange(place, place + len(n))), own.column(0), pa.array(before + total - n), pa.array(n), _binary(flat, total)],
                     ["part", "place", "doc_id", "before", "n", "ids"],
                 )
-                place, before = place + len(raw), before + int(total[-1])
+                first, place, before = stop, place + len(n), before + int(total[-1])
 
     rows = bounded_batches(docs).select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -238,17 +256,27 @@ def written(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int
     return docs.sparkSession.read.parquet(path)
 
 
-def _kind(n: int, raw: bytes) -> str:
-    return "<u2" if len(raw) == 2 * n else "<u4"
+def _binary(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """ids as one binary value up to each end."""
+    at = np.concatenate([[0], ends]).astype(np.int64) * ids.itemsize
+    if at[-1] > np.iinfo(np.int32).max:
+        raise ValueError("a batch of ids is beyond 2 GB")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids.tobytes())])
+
+
+def _flat(n: np.ndarray, raw: pa.Array) -> np.ndarray:
+    """The ids of a column of binary values, end to end; n: how many each has."""
+    at = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, 4 * raw.offset) if len(raw) else np.zeros(1, np.int32)
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return data.view("<u2" if len(data) == 2 * int(n.sum()) else "<u4")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros(0, np.int64)
     for batch in batches:
-        for n, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.bincount(np.frombuffer(raw.as_buffer(), _kind(n, raw.as_buffer())), minlength=len(sums))
-            own[: len(sums)] += sums
-            sums = own
+        own = np.bincount(_flat(batch.column(0).to_numpy(), batch.column(1)), minlength=len(sums))
+        own[: len(sums)] += sums
+        sums = own
     at = np.flatnonzero(sums)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["id", "n"])
 
@@ -278,30 +306,19 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook(small.astype(np.int64))
-        held: list[np.ndarray] = []
-        docs_: list[pa.Array] = []
-        next_, first, size = None, 0, 0
-
-        def row() -> pa.RecordBatch:
-            names = pa.concat_arrays(docs_)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (names, pa.array([len(h) for h in held], pa.int64()))]
-            data = pa.array([book.pack(np.concatenate(held), block)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([first]), pa.array([first + size]), *lists, data], ["start", "stop", "doc_ids", "sizes", "stream"])
-
         for batch in batches:
-            part, place, start, n = (batch.column(k).to_pylist() for k in range(4))
-            for k, raw in enumerate(batch.column(4)):
-                if held and (size >= stream or (part[k], place[k]) != next_):
-                    yield row()
-                    held, docs_, size = [], [], 0
-                if not held:
-                    first = start[k]
-                held.append(np.frombuffer(raw.as_py(), _kind(n[k], raw.as_buffer())))
-                docs_.append(batch.column(5).slice(k, 1))
-                size += n[k]
-                next_ = (part[k], place[k] + 1)
-        if held:
-            yield row()
+            part, place, start, n = (batch.column(k).to_numpy() for k in range(4))
+            ids, end = _flat(n, batch.column(4)), np.cumsum(n)
+            breaks = np.flatnonzero((np.diff(part) != 0) | (np.diff(place) != 1)) + 1
+            first = 0
+            while first < len(n):
+                begin = int(end[first - 1]) if first else 0
+                stop = max(first + 1, int(np.searchsorted(end, begin + stream, "right")))
+                stop = min([stop, *breaks[breaks > first][:1]])
+                lists = [pa.ListArray.from_arrays(pa.array([0, stop - first], pa.int32()), c) for c in (batch.column(5).slice(first, stop - first), pa.array(n[first:stop]))]
+                data = pa.array([book.pack(ids[begin : end[stop - 1]], block)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(start[first : first + 1]), pa.array(start[stop - 1 : stop] + n[stop - 1]), *lists, data], ["start", "stop", "doc_ids", "sizes", "stream"])
+                first = stop
 
     placed.mapInArrow(tidy(encode), f"start long, stop long, doc_ids array<{kind}>, sizes array<long>, stream binary").write.option("compression", "none").parquet(f"{path}/streams")
     delete(spark, own)
@@ -338,9 +355,7 @@ def read(spark: SparkSession, path: str, first: int = 0, last: int | None = None
                 if len(own):
                     low, high = int(own[0]), int(own[-1]) + 1
                     begin = int(end[low] - size[low])
-                    raw = memoryview(codes.unpack(batch.column(3)[k].as_py(), begin, int(end[high - 1])).astype("<u4").tobytes())
-                    edge = 4 * (end - begin)
-                    ids = pa.array([raw[edge[j] - 4 * size[j] : edge[j]] for j in range(low, high)], pa.binary())
+                    ids = _binary(codes.unpack(batch.column(3)[k].as_py(), begin, int(end[high - 1])).astype("<u4"), end[low:high] - begin)
                     yield pa.RecordBatch.from_arrays([batch.column(1)[k].values.slice(low, high - low), pa.array(at[low:high]), ids], ["doc_id", "start", "ids"])
 
     kind = streams.schema["doc_ids"].dataType.elementType.simpleString()

@@ -12,6 +12,7 @@ from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -241,6 +242,6 @@ def test_words_of_all_characters_are_those_of_the_library():
     for k in range(0, 0x11000, 16):
         some = [chr(c) for c in range(k, k + 16) if not 0xD800 <= c < 0xE000]
         texts.append("".join(f"a{c} {c}b\n{c}'t.{c}!" for c in some))
-    flat, n = encode.encode(texts, 2)
+    flat, n = encode.encode(pa.array(texts, pa.large_string()), 2)
     want = [[*e.ids, 2] for e in encode.library.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == want

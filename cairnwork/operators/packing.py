@@ -10,37 +10,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fill(docs: Iterator[tuple[int, int]], capacity: int, buffer: int, crop: bool) -> Iterator[tuple[int, int, int, int]]:
-    """(row, doc, used, lost) of each piece. Of the documents in the buffer the longest that fits goes first, the earliest of equals.
+class Filler:
+    """Rows being filled from a buffer of documents, one document after the other.
 
-    If none fits: with crop, the shortest is cut to the row's rest and what is cut off is lost; without, the row ends.
-    A document longer than a row is cut to it when padding.
+    A piece leaves as soon as the buffer is full: of its documents the longest that fits goes first, the earliest of equals. If none
+    fits: with crop, the shortest is cut to the row's rest and what is cut off is lost; without, the row ends. A document
+    longer than a row is cut to it when padding. What it holds (`held`, `arrival`, `row`, `left`) is all its state.
     """
-    held: list[tuple[int, int, int]] = []  # length, arrival, document
-    arrival, row, left, done = 0, 0, capacity, False
-    while True:
-        while not done and len(held) < buffer:
-            item = next(docs, None)
-            if item is None:
-                done = True
-            else:
-                insort(held, (item[1] if crop else min(item[1], capacity), arrival, item[0]))
-                arrival += 1
-        if not held:
-            return
+
+    def __init__(self, capacity: int, buffer: int, crop: bool) -> None:
+        self.capacity, self.buffer, self.crop = capacity, buffer, crop
+        self.held: list[tuple[int, int, int]] = []  # length, arrival, document
+        self.arrival, self.row, self.left = 0, 0, capacity
+
+    def add(self, doc: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """Takes a document in; (row, doc, used, lost) of what leaves for it."""
+        insort(self.held, (n if self.crop else min(n, self.capacity), self.arrival, doc))
+        self.arrival += 1
+        while len(self.held) >= self.buffer:
+            yield from self._step()
+
+    def drain(self) -> Iterator[tuple[int, int, int, int]]:
+        """What the buffer still holds, when no more documents come."""
+        while self.held:
+            yield from self._step()
+
+    def _step(self) -> Iterator[tuple[int, int, int, int]]:
+        held, left = self.held, self.left
         at = bisect_right(held, (left, float("inf"), 0)) - 1
         if at >= 0:
             n, _, doc = held.pop(bisect_left(held, (held[at][0], -1, 0)))
-            yield row, doc, n, 0
-        elif crop:
+            yield self.row, doc, n, 0
+        elif self.crop:
             size, _, doc = held.pop(0)
             n = left
-            yield row, doc, n, size - n
+            yield self.row, doc, n, size - n
         else:
             n = left
-        left -= n
-        if not left:
-            row, left = row + 1, capacity
+        self.left -= n
+        if not self.left:
+            self.row, self.left = self.row + 1, self.capacity
+
+
+def fill(docs: Iterator[tuple[int, int]], capacity: int, buffer: int, crop: bool) -> Iterator[tuple[int, int, int, int]]:
+    """(row, doc, used, lost) of each piece of documents (doc, length), by a Filler."""
+    filler = Filler(capacity, buffer, crop)
+    for doc, n in docs:
+        yield from filler.add(doc, n)
+    yield from filler.drain()
 
 
 def best_fit(docs: DataFrame, idx: str, length: Column, capacity: int, buffer: int = 1000, crop: bool = True, ranks: int = 8, rows_per_group: int = 128) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..operators import contents as T
 from ..operators import conversation as C
 from . import rules_sql as R
 from .corpus import _any, _norm, _words
@@ -77,6 +78,7 @@ def a03_assistant_words(spark, sf_dir):
 _BYTES = "list_transform(range(1, octet_length(encode(t)) + 1), lambda i: CAST(('0x' || hex(encode(t))[2 * i - 1:2 * i]) AS INT))"
 _TURNS = """(SELECT conv_id, turn, role, CASE WHEN role = 'user' AND s IS NOT NULL AND turn = 1 THEN s || chr(10) || chr(10) || text ELSE text END AS t FROM
     (SELECT *, max(CASE WHEN turn = 0 AND role = 'system' THEN text END) OVER (PARTITION BY conv_id) AS s FROM conversations) WHERE NOT (turn = 0 AND role = 'system'))"""
+_ASCII_TURNS = _TURNS.replace("FROM conversations)", "FROM (SELECT conv_id, turn, role, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM conversations))")
 _RENDERED = f"""(SELECT conv_id, list_prepend(256, flatten(list(CASE WHEN role = 'user' THEN list_append(list_prepend(257, b), 258) ELSE list_append(list_prepend(259, b), 260) END ORDER BY turn))) AS ids,
     list_prepend(0, flatten(list(CASE WHEN role = 'user' THEN list_transform(range(len(b) + 2), lambda i: 0) ELSE list_prepend(0, list_transform(range(len(b) + 1), lambda i: 1)) END ORDER BY turn))) AS mask
     FROM (SELECT *, {_BYTES} AS b FROM {_TURNS}) GROUP BY 1)"""
@@ -93,6 +95,45 @@ def q09_render(spark, sf_dir):
     return r.select("conv_id", _digest("r.ids").alias("ids"), _digest("r.mask").alias("mask"), F.size("r.ids").cast("long").alias("n_ids"))
 
 
+# Every third conversation's assistant speaks in a text, a call, its output; the next one's in calls alone. 261 to 264 are the marks.
+_PARTED = f"""(SELECT conv_id, turn, CASE WHEN role = 'user' THEN list_append(list_prepend(257, b), 258)
+        WHEN conv_id % 3 = 0 THEN flatten([[259], b[1:n], [261], b[n + 1:2 * n], [262, 263], b[2 * n + 1:], [264, 260]])
+        WHEN conv_id % 3 = 1 THEN flatten([[259, 261], b, [262, 260]]) ELSE list_append(list_prepend(259, b), 260) END AS ids,
+      list_transform(CASE WHEN role = 'user' THEN range(len(b) + 2) WHEN conv_id % 3 = 0 THEN range(len(b) + 6) WHEN conv_id % 3 = 1 THEN range(len(b) + 4) ELSE range(len(b) + 2) END,
+        lambda i: (CASE WHEN role = 'user' OR i = 0 THEN 0 WHEN conv_id % 3 = 0 THEN CASE WHEN i <= 2 * n + 2 OR i = len(b) + 5 THEN 1 ELSE 0 END ELSE 1 END)) AS mask
+    FROM (SELECT conv_id, turn, role, {_BYTES} AS b, octet_length(encode(t)) // 3 AS n FROM {_ASCII_TURNS}))"""
+
+
+def _with_parts(spark, sf_dir):
+    """Typed messages of the conversations' ASCII, read back from JSON whose contents are texts and lists of parts."""
+    n = C.nested(read(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", "[^ -~]", "")))
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+
+    def json(m):
+        text = m["content"]
+        k = F.floor(F.length(text) / 3).cast("int")
+        three = F.array(part("text", F.substr(text, F.lit(1), k)), part("python", F.substr(text, k + 1, k)), part("python_output", F.substr(text, 2 * k + 1)))
+        of = lambda c: F.to_json(F.struct(m["role"].alias("role"), c.alias("content")))
+        own = F.when(F.col("conv_id") % 3 == 0, of(three)).when(F.col("conv_id") % 3 == 1, of(F.array(part("python", text)))).otherwise(of(text))
+        return F.when(m["role"] == "assistant", own).otherwise(of(text))
+
+    line = F.concat(F.lit('{"messages":['), F.array_join(F.transform("messages", json), ","), F.lit("]}"))
+    return n.select("conv_id", T.typed_messages(line).alias("messages"))
+
+
+@query(f"""SELECT conv_id, md5(array_to_string(list_prepend(256, flatten(list(ids ORDER BY turn))), ',')) AS ids, md5(array_to_string(list_prepend(0, flatten(list(mask ORDER BY turn))), ',')) AS mask FROM {_PARTED} GROUP BY 1""")
+def q09_render_parts(spark, sf_dir):
+    r = _with_parts(spark, sf_dir).select("conv_id", T.render_typed(T.checked(F.col("messages")), most=10_000_000).alias("r"))
+    return r.select("conv_id", _digest("r.ids").alias("ids"), _digest("r.mask").alias("mask"))
+
+
+@query(f"""SELECT conv_id, md5(array_to_string(list_append((list_prepend(256, flatten(list(ids ORDER BY turn) FILTER (turn < final))))[1:2048], 259), ',')) AS ids
+    FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS final FROM {_PARTED}) JOIN (SELECT conv_id, arg_max(role, turn) AS last FROM conversations GROUP BY 1) USING (conv_id) WHERE last = 'assistant' GROUP BY conv_id""")
+def q10_render_parts_for_completion(spark, sf_dir):
+    d = _with_parts(spark, sf_dir).where(F.element_at("messages", -1)["role"] == "assistant")
+    return d.select("conv_id", _digest(T.render_typed_for_completion(F.col("messages"))).alias("ids"))
+
+
 @query(f"""SELECT conv_id, md5(array_to_string(list_append((ids[1:len(ids) - octet_length(encode(final)) - 2])[1:2048], 259), ',')) AS ids
     FROM {_RENDERED} JOIN (SELECT conv_id, arg_max(role, turn) AS last, arg_max(t, turn) AS final FROM {_TURNS} GROUP BY 1) USING (conv_id) WHERE last = 'assistant'""")
 def q10_render_for_completion(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import guards as G
 from ..operators import loading as L
+from ..sources.row_groups import RowGroups
 from .registry import query, read
 
 
@@ -18,6 +19,14 @@ def s05_s06_batches_after_cursor(spark, sf_dir):
     return out.groupBy("epoch", "pq_idx", "rg_idx", "batch_idx").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+@query("SELECT doc_id, md5(text) AS text_md5, e::INT AS epoch FROM documents, generate_series(1, 2) t(e)")
+def s05_st05_row_group_source(spark, sf_dir):
+    """Two epochs of whole row groups, read from the files in the order of training."""
+    spark.dataSource.register(RowGroups)
+    d = spark.read.format("row_groups").options(path=f"{sf_dir}/documents.parquet", columns="doc_id,text", epochs="2").load()
+    return d.select("epoch", "doc_id", F.md5("text").alias("text_md5"))
+
+
 @query("""SELECT s AS step, CASE WHEN s < 10 THEN (s + 1) / 10.0 WHEN s <= 500 THEN 1.0 ELSE (1000 - s) / 500.0 + (1 - (1000 - s) / 500.0) * 0.1 END AS base,
     CASE WHEN s / 1000.0 < 0.05 THEN s / 1000.0 / 0.05 WHEN s / 1000.0 < 0.8 THEN 1.0 ELSE greatest(0.0, (1 - s / 1000.0) / 0.2) END AS tuning, 1.0 - s / 1000.0 AS reward,
     (1 - least(s / 300.0, 1.0)) * 0.85 + least(s / 300.0, 1.0) * 0.95 AS momentum, 0.2 * (1 - s / 1000.0) AS weight_decay FROM (SELECT s::DOUBLE AS s FROM generate_series(0, 999) t(s))""")

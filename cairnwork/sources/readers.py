@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
+from ..operators import contents as T
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -144,6 +145,15 @@ def checked_conversations(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(checked_messages(F.from_json("value", MESSAGES), F.col("value")).alias("messages"))
 
 
+def typed_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """(messages) of a conversation a line, an array or an object with `messages`, whose contents are texts or lists of typed parts.
+
+    Blank lines are skipped; the query fails on a line that can't be rendered, with what is wrong with it.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(T.checked(T.typed_messages(F.col("value"))).alias("messages"))
+
+
 def checked_messages(messages: Column, line: Column) -> Column:
     """The messages; the query fails, with the line's beginning, unless there are two and user and assistant alternate."""
     turn = lambda m, i: (m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")) & m["content"].isNotNull()

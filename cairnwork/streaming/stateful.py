@@ -1,6 +1,8 @@
 """Streams with state of their own: packing from a buffer that outlives batches, and a watcher that speaks once a file.
 
 Both need the RocksDB state store: set `spark.sql.streaming.stateStore.providerClass` to STORE (rocksdb_store(spark) does).
+A stream with times in it (flush_ms, silent_ms, remember_ms) has batches without data, as its timers fire in them; so under the trigger `availableNow` it
+doesn't end, unless `spark.sql.streaming.noDataMicroBatches.enabled` is false.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ def pack_stream(docs: DataFrame, capacity: int, buffer: int = 1000, crop: bool =
     """
     d = docs.where("n IS NULL OR n > 0").select(F.col("rank").cast("int").alias("rank"), F.col("seq").cast("long").alias("seq"), F.col("doc").cast("long").alias("doc"), F.col("n").cast("long").alias("n"))
     processor = _Packing(capacity, buffer, crop, flush_ms)
-    return d.groupBy("rank").transformWithState(processor, "rank int, row long, doc long, used long, lost long", "append", "ProcessingTime")
+    return d.groupBy("rank").transformWithState(processor, "rank int, row long, doc long, used long, lost long", "append", "None" if flush_ms is None else "ProcessingTime")
 
 
 class _Watch(StatefulProcessor):
@@ -137,4 +139,4 @@ def watch(lines: DataFrame, marks: dict[str, str], order: tuple[str, ...] = L.FI
     named = [k for k in order if k in marks]
     hits = [F.when(F.col("line").rlike(marks[k]), F.struct(F.lit(i).alias("place"), F.lit(k).alias("mark"))) for i, k in enumerate(named)]
     d = lines.withColumn("hit_", F.coalesce(*hits)).select("file", F.col("hit_.place").alias("place"), F.col("hit_.mark").alias("mark"))
-    return d.groupBy("file").transformWithState(_Watch(silent_ms, remember_ms), "file string, state string, lines long", "append", "ProcessingTime")
+    return d.groupBy("file").transformWithState(_Watch(silent_ms, remember_ms), "file string, state string, lines long", "append", "None" if silent_ms is None and remember_ms is None else "ProcessingTime")

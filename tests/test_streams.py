@@ -20,7 +20,7 @@ from cairnwork.streaming import stateful
 @pytest.fixture
 def store(spark):
     """A session whose streams have one partition of state, as each costs seconds here."""
-    own = {"spark.sql.shuffle.partitions": "1", "spark.sql.streaming.stateStore.providerClass": stateful.STORE}
+    own = {"spark.sql.shuffle.partitions": "1", "spark.sql.streaming.stateStore.providerClass": stateful.STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     kept = {k: spark.conf.get(k) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
@@ -84,6 +84,7 @@ def test_packing_over_batches_and_restarts_is_that_of_the_whole_stream(store, tm
 
 
 def test_packing_flushes_a_silent_rank(store, tmp_path):
+    store.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")  # timers fire in them
     put(tmp_path / "in", "0.json", [{"rank": 0, "seq": k, "doc": k, "n": 10} for k in range(5)])
     source = store.readStream.schema("rank int, seq long, doc long, n long").json(str(tmp_path / "in"))
     sink = Sink()
@@ -128,6 +129,7 @@ def test_the_watcher_speaks_once_a_file_and_forgets_it(store, tmp_path):
 
 
 def test_the_watcher_tells_of_silent_files_and_keeps_nothing(store, tmp_path):
+    store.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")  # timers fire in them
     put(tmp_path / "in", "0.json", [{"file": "a", "line": "step 1"}, {"file": "b", "line": "[done]"}])
     source = store.readStream.schema("file string, line string").json(str(tmp_path / "in"))
     sink = Sink()

@@ -37,8 +37,6 @@ END_ID = 2
 LONGEST = 17
 #: Ids in a block; ids of a stream of several documents at most; ids whose bits are laid at once.
 BLOCK, STREAM, AT_ONCE = 256, 1 << 20, 1 << 18
-#: Streams of an Arrow batch.
-STREAMS = 16
 #: Words that a worker remembers, and the longest of them.
 REMEMBER, LONG = 1_000_000, 64
 #: Bytes of text that are encoded at once.
@@ -359,7 +357,7 @@ def read(spark: SparkSession, path: str, first: int = 0, last: int | None = None
                     yield pa.RecordBatch.from_arrays([batch.column(1)[k].values.slice(low, high - low), pa.array(at[low:high]), ids], ["doc_id", "start", "ids"])
 
     kind = streams.schema["doc_ids"].dataType.elementType.simpleString()
-    rows = bounded_batches(streams.select("start", "doc_ids", "sizes", "stream"), STREAMS)
+    rows = streams.select("start", "doc_ids", "sizes", "stream")  # Arrow batches are bounded by their bytes too
     return rows.mapInArrow(tidy(decode), f"doc_id {kind}, start long, ids binary")
 
 

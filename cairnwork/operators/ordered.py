@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import global_rank
+from .ranks import cut, global_rank
 
 
 def slice_view(df: DataFrame, idx: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
@@ -66,33 +65,63 @@ def char_budget(docs: DataFrame, idx: str = "doc_id", text: str = "text", cap: i
     return sum_before(d, idx, F.length(text), "chars_before").where(F.col("chars_before") <= most)
 
 
+def at_or_after(rows: DataFrame, at: str, marks: DataFrame, mark: str) -> DataFrame:
+    """rows with `next_`: the least mark that isn't below their own `at`, null if all are; marks without a null, `next_` of any type in order with them.
+
+    marks: (mark, next_). Rows and marks are dealt together by ranges of their values and read from above within
+    a range; what a range's end doesn't know comes from the ranges behind it, one row for each. Nothing is joined by inequality.
+    """
+    cols = rows.columns
+    one = rows.select(F.struct(*cols).alias("row_"), F.col(at).alias("v_"), F.lit(0).alias("is_mark_"), F.lit(None).cast(marks.schema["next_"].dataType).alias("next_"))
+    both = one.unionByName(marks.select(F.lit(None).cast(one.schema["row_"].dataType).alias("row_"), F.col(mark).alias("v_"), F.lit(1).alias("is_mark_"), "next_"))
+    order = ["v_", "is_mark_", F.xxhash64("row_")]
+    ids = cut(both.repartitionByRange(*order).sortWithinPartitions("v_", "is_mark_").withColumn("id_", F.monotonically_increasing_id())).withColumn("part_", F.shiftright("id_", 33))
+    firsts = ids.groupBy(F.col("part_").alias("p_")).agg(F.min("next_").alias("first_"))  # a row for each range
+    firsts = firsts.select("p_", F.min("first_").over(W.orderBy(F.desc("p_")).rowsBetween(W.unboundedPreceding, -1)).alias("later_"))
+    down = W.partitionBy("part_").orderBy(F.desc("id_")).rowsBetween(W.unboundedPreceding, 0)
+    found = ids.withColumn("own_", F.min("next_").over(down)).where("is_mark_ = 0").join(F.broadcast(firsts), F.col("part_") == F.col("p_"))
+    return found.select("row_.*", F.coalesce("own_", "later_").alias("next_"))
+
+
+def chain(pointers: DataFrame, start: int) -> DataFrame:
+    """(node, steps) of the nodes on the way from start along pointers (node, next_), which rise; the way ends at a null.
+
+    Pointers are doubled until the start's leads beyond the end: as many rounds as the number of steps has bits, each a
+    join of whole tables that is cut to the shared folder. Then the way is read off from the longest jumps to the shortest.
+    """
+    jumps = [cut(pointers.where("next_ IS NOT NULL").select("node", "next_"))]
+    while not jumps[-1].where(F.col("node") == start).isEmpty():
+        p = jumps[-1]
+        jumps.append(cut(p.join(p.select(F.col("node").alias("next_"), F.col("next_").alias("far_")), "next_").select("node", F.col("far_").alias("next_"))))
+    spark = pointers.sparkSession
+    way = spark.createDataFrame([(start, 0)], "node long, steps long")
+    for k in reversed(range(len(jumps))):
+        way = cut(way.unionByName(way.join(jumps[k], "node").select(F.col("next_").alias("node"), (F.col("steps") + (1 << k)).alias("steps"))))
+    return way
+
+
 def shard_numbers(docs: DataFrame, idx: str = "doc_id", text: str = "text", chars: int = 250_000_000, rows_per_group: int = 1024, keep_tail: bool = False) -> DataFrame:
     """shard: which output shard a document goes to, in the order of idx.
 
     A shard ends after the first whole row group with which it has `chars` characters; documents after the last end are
-    left out, or go to a last shard with keep_tail. Characters are summed by row group in parallel; what one task walks
-    through, holding two numbers, is a row for every rows_per_group documents.
+    left out, or go to a last shard with keep_tail. Each group points to the end of a shard that would begin behind it,
+    found by running sums of characters; the shards are the way along these pointers from before the first group. No task walks
+    through all groups.
     """
+    if chars < 1:
+        raise ValueError("a shard has one character at least")
     ranked = global_rank(docs.select(F.col(idx).alias("idx_"), F.length(text).cast("long").alias("used_")), ["idx_"]).withColumn("g_", F.expr(f"rank_ div {rows_per_group}"))
-    groups = ranked.groupBy("g_").agg(F.coalesce(F.sum("used_"), F.lit(0)).alias("c_"), F.count("*").alias("n_")).repartition(1).sortWithinPartitions("g_")
-
-    def walk(batches):
-        shard = held = 0
-        waiting: list[int] = []  # groups of the shard that isn't full yet; a full one has a bounded number
-        for batch in batches:
-            groups_, shards_ = [], []
-            for g, c, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                waiting.append(g)
-                held += c
-                if held >= chars and n == rows_per_group:
-                    groups_ += waiting
-                    shards_ += [shard] * len(waiting)
-                    shard, held, waiting = shard + 1, 0, []
-            yield pa.RecordBatch.from_arrays([pa.array(groups_, pa.int64()), pa.array(shards_, pa.int64())], ["s_", "shard"])
-        if keep_tail:
-            yield pa.RecordBatch.from_arrays([pa.array(waiting, pa.int64()), pa.array([shard] * len(waiting), pa.int64())], ["s_", "shard"])
-
-    of = groups.mapInArrow(walk, "s_ long, shard long")
+    groups = cut(ranked.groupBy("g_").agg(F.coalesce(F.sum("used_"), F.lit(0)).alias("c_"), F.count("*").alias("n_")))
+    sums = cut(sum_before(groups, "g_", F.col("c_"), "chars_before").select("g_", "n_", (F.col("chars_before") + F.col("c_")).alias("sum_")))
+    behind = sums.select(F.col("g_").alias("node"), (F.col("sum_") + chars).alias("goal_"))
+    behind = behind.unionByName(docs.sparkSession.createDataFrame([(-1, chars)], "node long, goal_ long"))
+    whole = sums.where(F.col("n_") == rows_per_group).select("sum_", F.col("g_").alias("next_"))
+    ends = chain(at_or_after(behind, "goal_", whole, "sum_").select("node", "next_"), -1).where("steps > 0")
+    of = at_or_after(sums.select("g_"), "g_", ends.select("node", (F.col("steps") - 1).alias("next_")), "node")
+    if keep_tail:
+        last = ends.agg(F.coalesce(F.max("steps"), F.lit(0)).alias("last_"))
+        of = of.crossJoin(F.broadcast(last)).select("g_", F.coalesce("next_", "last_").alias("next_"))  # one row
+    of = of.where("next_ IS NOT NULL").select(F.col("g_").alias("s_"), F.col("next_").alias("shard"))
     of = ranked.join(of, F.col("g_") == F.col("s_")).select("idx_", "shard")
     return docs.join(of, F.col(idx) == F.col("idx_")).drop("idx_")
 

@@ -10,6 +10,7 @@ from ..functions import sequences as Q
 from ..operators import decisions as D
 from ..operators import ordered as O
 from ..operators import statistics as S
+from ..operators import sampling as P
 from .registry import ORACLE, query, read
 
 _OUT = "(SELECT event_type AS task, event_id AS idx, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value > 100 END AS ok FROM events)"
@@ -246,6 +247,20 @@ def t15_top_k_logits(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(top, F.lit(0.0), lambda a, x: a + x.cast("double")).alias("top10"))
 
 
+# The draw of each of a vector's ten greatest entries, by the checksum of seed, id, sample, step and place.
+_GUMBEL = "x::DOUBLE / 0.8 - ln(-ln((('0x' || left(sha1('42:' || vec_id || ':' || sample || ':0:' || place), 13))::BIGINT + 0.5) / 4503599627370496.0))"
+
+
+@query(f"""SELECT vec_id, sample, CASE WHEN sample < 2 THEN arg_max(place, (score, -place)) ELSE arg_max(place, (x, -place)) END::INT AS token FROM
+    (SELECT *, {_GUMBEL} AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, place) AS r FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS place FROM embeddings WHERE embedding IS NOT NULL)
+      WHERE x IS NOT NULL AND NOT isnan(x)), (SELECT unnest(range(3))::INT AS sample) WHERE r <= 10) GROUP BY 1, 2""")
+def t15_sampled_tokens(spark, sf_dir):
+    """Two draws at temperature 0.8 among the ten greatest entries of each vector, and as sample 2 the greedy choice."""
+    e = read(spark, sf_dir, "embeddings").where("size(filter(embedding, x -> x IS NOT NULL AND NOT isnan(x))) > 0")
+    drawn = P.samples(e, "vec_id", "embedding", n=2, temperature=0.8, top_k=10)
+    return drawn.unionByName(P.samples(e, "vec_id", "embedding", temperature=0.0).withColumn("sample", F.lit(2)))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_totalprice <= 1000 THEN 1.0 WHEN o_totalprice >= 300000 THEN 9.0 WHEN o_totalprice < 50000 THEN 1.0 + 3.0 * (o_totalprice - 1000) / 49000 ELSE 4.0 + 5.0 * (o_totalprice - 50000) / 250000 END AS value FROM orders")
 def j06_interpolation(spark, sf_dir):
     curve = spark.createDataFrame([(1000.0, 1.0), (50000.0, 4.0), (300000.0, 9.0)], "x double, y double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import contents as T
+from .lines import numbered_lines
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -79,8 +80,8 @@ def checkpoint_metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line): the number is the line's place in its split of the file."""
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    """(file, line_no, line): lines of logs with their numbers in their files, from 1."""
+    return numbered_lines(spark, path).withColumn("file", F.substring_index("file", "/", -1))
 
 
 #: Seeds of test items begin here, beyond those of training items.

@@ -61,19 +61,19 @@ def common_prompt(shots: Column, one, last: Column) -> Column:
     return F.concat(F.array_join(F.transform(shots, lambda x: F.concat(one(x), F.lit("\n\n"))), ""), last)
 
 
-def prompts_choice(query: Column, choices: Column, shots: Column, delimiter: str) -> Column:
+def prompts_choice(query: Column, choices: Column, shots: Column, delimiter: str | Column) -> Column:
     """A prompt for each choice of a multiple-choice item."""
     shot = lambda x: F.concat(x["query"], F.lit(delimiter), F.get(x["choices"], x["gold"]))
     return F.transform(choices, lambda c: common_prompt(shots, shot, F.concat(query, F.lit(delimiter), c)))
 
 
-def prompts_schema(contexts: Column, continuation: Column, shots: Column, delimiter: str) -> Column:
+def prompts_schema(contexts: Column, continuation: Column, shots: Column, delimiter: str | Column) -> Column:
     """A prompt for each context of a schema item."""
     shot = lambda x: F.concat(F.get(x["context_options"], x["gold"]), F.lit(delimiter), x["continuation"])
     return F.transform(contexts, lambda c: common_prompt(shots, shot, F.concat(c, F.lit(delimiter), continuation)))
 
 
-def prompts_continuation(context: Column, continuation: Column, shots: Column, delimiter: str) -> Column:
+def prompts_continuation(context: Column, continuation: Column, shots: Column, delimiter: str | Column) -> Column:
     """[without, with the continuation] of a language-modelling item; contexts are trimmed, the first prompt stripped."""
     from .text import strip
 

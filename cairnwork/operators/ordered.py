@@ -179,6 +179,33 @@ def sequence(tables: list[tuple[DataFrame, str]]) -> DataFrame:
     return out
 
 
+def _draws(k: Column, seed: int) -> Column:
+    """An array of rank_ and k other numbers below n_, or all n_ - 1 if there are fewer; seeded by idx."""
+
+    def draw(used: Column, j: Column) -> Column:
+        h = F.sha1(F.concat_ws(":", (F.lit(seed) + F.col("idx")).cast("string"), j.cast("string")).cast("binary"))
+        x = F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("long"), F.col("n_") - 1 - j)
+        return F.concat(used, F.array(F.aggregate(F.array_sort(used), x, lambda at, u: F.when(at >= u, at + 1).otherwise(at))))
+
+    last = F.least(k.cast("long"), F.col("n_") - 1) - 1
+    steps = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0).cast("long")))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(steps, F.array("rank_"), draw)
+
+
+def few_shot_within(items: DataFrame, group: str, idx: str, shots: str, seed: int = 1234) -> DataFrame:
+    """(group, idx, shot, place): for each row as many other rows of its own group as its column `shots` says, fewer only if there aren't so many.
+
+    The draws are those of few_shot inside the group. One range shuffle ranks all rows, so a group of any size is spread; the
+    groups' first ranks are one row a group, as a list of tasks has.
+    """
+    ranked = global_rank(items.select(F.col(group).alias("group_"), F.col(idx).alias("idx"), F.col(shots).alias("k_")), ["group_", "idx"]).withColumnRenamed("rank_", "all_")
+    groups = ranked.groupBy(F.col("group_").alias("g_")).agg(F.min("all_").alias("first_"), F.count("*").alias("n_"))
+    d = ranked.join(F.broadcast(groups), F.col("group_").eqNullSafe(F.col("g_"))).withColumn("rank_", F.col("all_") - F.col("first_"))
+    d = d.select("group_", "idx", "first_", F.posexplode(_draws(F.col("k_"), seed)).alias("place", "shot_")).where("place > 0")
+    at = ranked.select(F.col("idx").alias("shot"), F.col("all_").alias("at_"))
+    return d.join(at, F.col("first_") + F.col("shot_") == F.col("at_")).select(F.col("group_").alias(group), F.col("idx").alias(idx), "shot", "place")
+
+
 def few_shot(items: DataFrame, idx: str, k: int, seed: int = 1234) -> DataFrame:
     """(idx, shot, place): k other rows for each row from the whole table, without replacement; fewer only if there aren't k.
 
@@ -189,11 +216,6 @@ def few_shot(items: DataFrame, idx: str, k: int, seed: int = 1234) -> DataFrame:
     n = ranked.agg(F.count("*").alias("n_"))
     d = ranked.crossJoin(F.broadcast(n)).where("n_ > 1")  # one row
 
-    def draw(used: Column, j: Column) -> Column:
-        h = F.sha1(F.concat_ws(":", (F.lit(seed) + F.col("idx")).cast("string"), j.cast("string")).cast("binary"))
-        x = F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("long"), F.col("n_") - 1 - j)
-        return F.concat(used, F.array(F.aggregate(F.array_sort(used), x, lambda at, u: F.when(at >= u, at + 1).otherwise(at))))
-
-    draws = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(F.lit(k).cast("long"), F.col("n_") - 1) - 1), F.array("rank_"), draw)
+    draws = _draws(F.lit(k), seed)
     d = d.select("idx", F.posexplode(draws).alias("place", "shot_rank_")).where("place > 0")
     return d.join(ranked.select(F.col("idx").alias("shot"), "rank_"), F.col("shot_rank_") == F.col("rank_")).select("idx", "shot", "place")

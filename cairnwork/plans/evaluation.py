@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import CHANCE
 from ..functions import sequences as Q
+from ..operators import core_eval as CE
 from ..operators import decisions as D
 from ..operators import ordered as O
 from ..operators import statistics as S
@@ -247,6 +248,56 @@ def t15_top_k_logits(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(top, F.lit(0.0), lambda a, x: a + x.cast("double")).alias("top10"))
 
 
+#: Tasks of the flow's query: kind, shots, delimiter, baseline in percent.
+_TASKS = [("choice", CE.CHOICE, 2, " ", 33.0), ("schema", CE.SCHEMA, 1, ": ", 50.0), ("continuation", CE.CONTINUATION, 1, " ", 0.0)]
+_MOST = 230
+
+_shot = lambda j: f"(('0x' || sha1((1234 + idx) || ':{j}')[1:15])::BIGINT % (n - {1 + j}))"
+
+
+def _core_items(spark, sf_dir):
+    """An item of one of the three kinds from each document's first characters."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 120), "[^!-~]", "").alias("t"))
+    at = lambda head, first, n, tail="": F.concat(F.lit(head), F.substring("t", first, n), F.lit(tail))
+    parts = [
+        at("q", 1, 30).alias("query"), F.array(at("A", 31, 8), at("B", 39, 12), at("C", 51, 5)).alias("choices"), F.when(F.col("doc_id") % 3 == 0, F.floor(F.col("doc_id") / 3) % 3).otherwise(F.floor(F.col("doc_id") / 3) % 2).cast("int").alias("gold"),
+        F.array(at("x", 1, 20, "1"), at("y", 21, 25, "2")).alias("context_options"), at("Z", 46, 14).alias("continuation"), at(" c", 1, 25, " ").alias("context"),
+    ]
+    task = F.array(*[F.lit(t[0]) for t in _TASKS])[(F.col("doc_id") % 3).cast("int")]
+    return d.select(task.alias("task"), F.col("doc_id").alias("idx"), *parts)
+
+
+def _core_model(rows):
+    """Losses and predictions by a rule in place of a model: whole numbers, and right predictions for two of three items."""
+    losses = F.transform("ids", lambda x, i: ((x * 31 + (i + 1) * 17) % 101).cast("double"))
+    right = F.concat(F.slice("ids", 2, F.size("ids")), F.array(F.lit(0)))
+    return rows.select("task", "idx", "option", losses.alias("losses"), F.when(F.floor(F.col("idx") / 3) % 3 < 2, right).otherwise(F.transform("ids", lambda x: F.lit(0))).alias("predictions"))
+
+
+_SPAN_LOSS = "list_sum(list_transform(range(first - 1, 1 + length(prompt) - 1), lambda p: (CASE WHEN p = 0 THEN 256 ELSE ascii(prompt[p]) END * 31 + (p + 1) * 17) % 101))::DOUBLE / (1 + length(prompt) - first)"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS idx, doc_id % 3 AS kind, doc_id // 3 AS h, regexp_replace(text[1:120], '[^!-~]', '', 'g') AS t FROM documents),
+    i AS (SELECT idx, kind, h, row_number() OVER (PARTITION BY kind ORDER BY idx) - 1 AS k, count(*) OVER (PARTITION BY kind) AS n, CASE WHEN kind = 0 THEN h % 3 ELSE h % 2 END AS gold, 'q' || t[1:30] AS query,
+        ['A' || t[31:38], 'B' || t[39:50], 'C' || t[51:55]] AS choices, ['x' || t[1:20] || '1', 'y' || t[21:45] || '2'] AS contexts, 'Z' || t[46:59] AS cont, 'c' || t[1:25] AS context FROM t),
+    a AS (SELECT *, {_shot(0)} + ({_shot(0)} >= k)::INT AS a FROM i), b0 AS (SELECT *, {_shot(1)} + ({_shot(1)} >= least(k, a))::INT AS u FROM a), b AS (SELECT *, u + (u >= greatest(k, a))::INT AS b FROM b0),
+    s AS (SELECT b.*, CASE b.kind WHEN 0 THEN x.query || ' ' || x.choices[x.gold + 1] || chr(10) || chr(10) || y.query || ' ' || y.choices[y.gold + 1] || chr(10) || chr(10)
+        WHEN 1 THEN x.contexts[x.gold + 1] || ': ' || x.cont || chr(10) || chr(10) ELSE x.context || ' ' || x.cont || chr(10) || chr(10) END AS head
+      FROM b JOIN i x ON x.kind = b.kind AND x.k = b.a JOIN i y ON y.kind = b.kind AND y.k = b.b),
+    o AS (SELECT idx, kind, h, gold, o, CASE kind WHEN 0 THEN head || query || ' ' || choices[o] WHEN 1 THEN head || contexts[o] || ': ' || cont ELSE head || context || ' ' || cont END AS prompt,
+        CASE kind WHEN 0 THEN 1 + length(head || query || ' ') WHEN 1 THEN 1 + length(head || contexts[o]) ELSE 1 + length(head || context) END AS first
+      FROM s, (SELECT unnest([1, 2, 3]) AS o) WHERE o <= CASE kind WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END),
+    z AS (SELECT idx, kind, max(1 + length(prompt)) > {_MOST} AS over, CASE WHEN kind = 2 THEN any_value(h) % 3 < 2 ELSE arg_min(o, ({_SPAN_LOSS}, o)) - 1 = any_value(gold) END AS ok FROM o GROUP BY 1, 2),
+    per AS (SELECT (['choice', 'schema', 'continuation'])[kind + 1] AS task, avg(ok::INT) FILTER (NOT over) AS accuracy, count(*) FILTER (NOT over) AS evaluated, count(*) FILTER (over) AS skipped, ([0.33, 0.5, 0.0])[kind + 1]::DOUBLE AS b FROM z GROUP BY kind),
+    c AS (SELECT task, accuracy, (accuracy - b) / (1.0 - b) AS centered, evaluated, skipped FROM per)
+    SELECT task, round(accuracy, 9) AS accuracy, round(centered, 9) AS centered, evaluated::BIGINT AS evaluated, skipped::BIGINT AS skipped FROM (SELECT * FROM c UNION ALL SELECT 'CORE', NULL, avg(centered), sum(evaluated), sum(skipped) FROM c)""")
+def e01_e05_core_flow(spark, sf_dir):
+    """Items, shots inside their tasks, prompts, spans, losses, outcomes with skips, accuracies, centred scores and their mean."""
+    tasks = spark.createDataFrame(_TASKS, "task string, kind string, shots int, delimiter string, baseline double")
+    out = CE.evaluate(_core_items(spark, sf_dir), tasks, _core_model, _MOST, "skip")
+    return out.select("task", F.round("accuracy", 9).alias("accuracy"), F.round("centered", 9).alias("centered"), "evaluated", "skipped")
+
+
 # The draw of each of a vector's ten greatest entries, by the checksum of seed, id, sample, step and place.
 _GUMBEL = "x::DOUBLE / 0.8 - ln(-ln((('0x' || left(sha1('42:' || vec_id || ':' || sample || ':0:' || place), 13))::BIGINT + 0.5) / 4503599627370496.0))"
 

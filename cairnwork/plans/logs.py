@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import logs as L
+from ..streaming.decoding import decoded
 from .registry import query, read
 
 
@@ -36,3 +37,14 @@ def l05_terminal_state(spark, sf_dir):
 @query("SELECT event_id, value FROM events WHERE event_id % 100 = 0")
 def k12_log_every(spark, sf_dir):
     return read(spark, sf_dir, "events").where("event_id % 100 = 0").select("event_id", "value")
+
+
+@query("""SELECT doc_id, count_if(clean)::BIGINT AS parts, md5(any_value(text)) AS text_md5 FROM (SELECT doc_id, text, CASE WHEN e = n THEN true ELSE NOT ('0x' || hex(encode(text))[2 * e + 1:2 * e + 2])::INT BETWEEN 128 AND 191 END AS clean
+    FROM (SELECT doc_id, text, octet_length(encode(text)) AS n, least(unnest(range(61, octet_length(encode(text)) + 61, 61)), octet_length(encode(text))) AS e FROM documents)) GROUP BY doc_id""")
+def st07_incremental_text(spark, sf_dir):
+    """Documents cut into chunks of 61 bytes: how many let text out, and all that they let out."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("raw")).where("octet_length(raw) > 0")
+    chunks = d.select("doc_id", "raw", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("raw") - 1) / 61).cast("int"))).alias("seq")).select("doc_id", "seq", F.expr("substr(raw, seq * 61 + 1, 61)").alias("piece"))
+    out = decoded(chunks, "doc_id", "seq", "piece")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return out.groupBy("doc_id").agg(F.count("*").alias("parts"), F.md5(text.cast("binary")).alias("text_md5"))
